@@ -140,11 +140,10 @@ def _descend(owner: np.ndarray, word: np.ndarray, keys: np.ndarray, grade: np.nd
 
 
 def _best_cut(severity: np.ndarray, positive: np.ndarray) -> float:
-    """The severity that parts the two sides of the training rows best, each side counted as a whole, in the middle of the gap."""
+    """The severity that parts the two sides of the training rows best, a missed row counted twice, in the middle of the gap."""
     order = np.argsort(severity, kind="stable")
     s, y = severity[order], positive[order]
-    missed = np.concatenate([[0], np.cumsum(y)]) / max(int(y.sum()), 1)
-    wrong = missed + np.concatenate([np.cumsum((~y)[::-1])[::-1], [0]]) / max(int((~y).sum()), 1)
+    wrong = 2 * np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((~y)[::-1])[::-1], [0]])
     at = np.flatnonzero(wrong == wrong.min())
     at = int(at[len(at) // 2])
     low = s[at - 1] if at else 0.0
