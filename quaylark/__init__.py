@@ -1,0 +1 @@
+"""Posting analytics on Spark: ingest, extract, publish and query continuously collected listings."""
