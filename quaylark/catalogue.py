@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import relations, scalars, search  # noqa: F401
+from .plans import cycles, relations, scalars, search  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
