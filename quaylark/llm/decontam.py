@@ -38,7 +38,8 @@ BLOCK_CHARS = 16_000_000
 #: Share of hit words above which a text goes as a whole.
 COVERAGE = 0.5
 
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: The words of ``words_of`` in a text as it is, capitals included.
+_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
 
 
