@@ -93,7 +93,7 @@ def with_salary(df: DataFrame, text: str) -> DataFrame:
 _YEARS = (
     re.compile(r"(\d{1,2})\s?(?:-|–|to)\s?(\d{1,2})\s?\+?\s?(?:years|yrs|jahre|ans)", re.I),
     re.compile(r"(?:at least|minimum|min\.?|over|mindestens|au moins)\s(\d{1,2})()\s?\+?\s?(?:years|yrs|jahre|ans)", re.I),
-    re.compile(r"(?<![\d–-])(?<!to )(\d{1,2})()\s?\+?\s?(?:years|yrs|jahre|ans)\b[^.]{0,40}(?:experience|erfahrung|expérience)", re.I),
+    re.compile(r"(?<![\d–-])(?<!to )(\d{1,2})()\s?\+?\s?(?:years|yrs|jahre|ans)\b(?=[^.]{0,40}(?:experience|erfahrung|expérience))", re.I),
 )
 _NOT_OURS = re.compile(r"(founded|for over|history|our company|established|warranty|old)[^.]{0,60}$", re.I)
 
