@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, ragged_take, texts_of
+from .common import by_size, ragged_take, slices, texts_of
 
 CHUNKS_KEPT = 800_000
 
@@ -261,14 +261,14 @@ class Codec:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of ids given end to end; bytes that are not UTF-8 become U+FFFD."""
-        ids = ids[(ids >= 0) & (ids < len(self.byte_sizes))] if len(ids) and not self._known(ids) else ids
+        known = (ids >= 0) & (ids < len(self.byte_sizes))
+        if not known.all():
+            total, ends = np.concatenate([[0], np.cumsum(known)]), np.cumsum(counts)
+            ids, counts = ids[known], total[ends] - total[ends - counts]
         raw = ragged_take(self.flat_bytes, self.byte_starts[ids], self.byte_sizes[ids]).tobytes()
         ends = np.concatenate([[0], np.cumsum(self.byte_sizes[ids])])[np.cumsum(counts)].tolist()
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
 
-    def _known(self, ids: np.ndarray) -> bool:
-        return int(ids.min()) >= 0 and int(ids.max()) < len(self.byte_sizes)
-
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
@@ -300,7 +300,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in by_size(batches):
+        for b in slices(batches):
             lists = [np.asarray([i for i in x or [] if i is not None and 0 <= i < len(own.byte_sizes)], np.int64) for x in b.column("ids").to_pylist()]
             texts = own.decode(np.concatenate(lists), np.fromiter(map(len, lists), np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

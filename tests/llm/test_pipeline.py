@@ -1,0 +1,79 @@
+"""The pipeline against a plain version of its stages on a small table."""
+
+import hashlib
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from quaylark.llm import decontam, langid, secrets, simhash
+from quaylark.llm.common import table
+
+
+@pytest.fixture(scope="module")
+def result(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir).collect()
+
+
+def test_stages_call_the_operators_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "bpe_tokens"]
+
+
+def test_plain_version(spark, sf_dir, result):
+    from test_neardup import brute, plain_fingerprint
+    from test_scans import plain_spans
+
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.Profiles(langid.learn(docs.where(~langid.held_out()).select("text", "lang")))
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect() if profiles.nearest(r["text"] or "")[1] > 0.5}
+    fps: dict = {}
+    for i, t in rows.items():
+        fps.setdefault(plain_fingerprint(t), []).append(i)
+    least = brute(fps)
+    rows = {i: t for f, ids in fps.items() for i, t in ((i, rows[i]) for i in ids) if least[f] == i}
+    items = [(str(r["item_id"]), r["text"] or "") for r in table(spark, sf_dir, "benchmark").collect()]
+    automaton = decontam.Automaton(items)
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    want = []
+    for i, t in rows.items():
+        hit, _ = automaton.match(decontam.words_of(t))
+        if hit.any() and hit.mean() > decontam.COVERAGE:
+            continue
+        for s in reversed(decontam.spans_of(t, hit)):
+            t = t[: s["start"]].rstrip() + " " + t[s["end"] :].lstrip()
+        at = 0
+        out, spans = "", sorted((s, e) for s, _, _, e in plain_spans(t))
+        stretches: list[list[int]] = []
+        for s, e in spans:
+            if stretches and stretches[-1][1] >= s:
+                stretches[-1][1] = max(stretches[-1][1], e)
+            else:
+                stretches.append([s, e])
+        for s, e in stretches:
+            out, at = out + t[at:s] + "[SECRET]", e
+        t = out + t[at:]
+        ids = library.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(map(tuple, result)) == sorted(want)
+
+
+def test_stages_keep_the_columns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    odd = docs.unionByName(spark.createDataFrame([(-1, None, None, None, None), (None, "the text of nobody", "en", "s", 18), (-2, "", None, None, 0)], docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == docs.columns, name
+        assert out.count() <= odd.count()
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_clean_documents_stay(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    assert langid.recognised(docs).count() >= 0.98 * n
+    masked = secrets.masked(docs).alias("a").join(docs.alias("b"), "doc_id").where(~F.col("a.text").eqNullSafe(F.col("b.text")))
+    found = secrets.scan(docs).where(F.size("spans") > 0)
+    assert masked.count() == found.count()
+    assert simhash.one_of_each(docs).count() >= 0.8 * n
