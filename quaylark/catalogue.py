@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cycles, relations, scalars, search, sourcing, texts  # noqa: F401
+from .plans import checks, cycles, relations, scalars, search, sourcing, texts  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
