@@ -10,8 +10,8 @@ neighbours also stand side by side in some item are streamed, which loses nothin
 match of two words or more never spans other neighbours.
 
 The automaton is sent to all tasks only up to ``BLOCK_CHARS`` characters of items;
-larger test sets are dealt to blocks, one automaton and one pass for each, and the
-hits are united.
+larger test sets are dealt to blocks, one automaton and one pass over the rows for
+each; a pass adds its hits to those of the passes before it.
 
 Edge cases: null, empty and wordless texts have no words and no hits; wordless items
 never occur; repeated items each count; items with a null item_id count under an
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, stored, texts_of
 
 WINDOW = 10
 #: Characters of test items that one automaton may hold (about 1 GB a worker at most).
@@ -182,53 +181,56 @@ SPANS = "array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
-    """The test items on the driver, block after block; a block's characters are counted before it is read."""
+def blocks_of(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks the test items make, and the blocks on the driver, one after another."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + chars // block_chars
-    for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
-        if k == 0 or n > 1:
-            yield [tuple(r) for r in own.collect()]
+    own = (rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
+    return n, ([tuple(r) for r in block.collect()] for block in own)
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
+def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int, last: bool) -> DataFrame:
+    """Add the hits and items of one block to rows (doc_id, text, hits, items); the last pass gives spans for texts."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sent = rows.sparkSession.sparkContext.broadcast(Automaton(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out: dict[str, list] = {k: [] for k in ("n_words", "hits", "spans", "items")}
-            for text in texts_of(b):
+            for text, hits, names in zip(texts_of(b), b.column("hits").to_pylist(), b.column("items").to_pylist()):
                 words = words_of(text)
                 hit, found = sent.value.match(words)
+                hit[hits] = True
                 out["n_words"].append(len(words))
                 out["hits"].append(np.flatnonzero(hit).tolist())
-                out["spans"].append(spans_of(text, hit))
-                out["items"].append(sorted(found))
-            cols = [b.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["hits"], pa.list_(pa.int32())), pa.array(out["spans"], _SPANS), pa.array(out["items"], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "hits", "spans", "items"])
+                out["spans"].append(spans_of(text, hit) if last else [])
+                out["items"].append(sorted(found.union(names)))
+            hits, names = pa.array(out["hits"], pa.list_(pa.int32())), pa.array(out["items"], pa.list_(pa.string()))
+            if last:
+                cols = [b.column("doc_id"), pa.array(out["n_words"], pa.int64()), hits, pa.array(out["spans"], _SPANS), names]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "hits", "spans", "items"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), hits, names], ["doc_id", "text", "hits", "items"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, hits array<int>, spans {SPANS}, items array<string>")
+    gives = f"doc_id {kind}, n_words long, hits array<int>, spans {SPANS}, items array<string>" if last else f"doc_id {kind}, text string, hits array<int>, items array<string>"
+    return rows.mapInArrow(run, gives)
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, n_words, hits, spans, items) of every whole text: hit words by number and as code points."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    passes = [_pass(rows, block, window) for block in blocks_of(items, item_col, item_text, block_chars)]
-    if len(passes) == 1:
-        return passes[0]
-    together = reduce(DataFrame.unionByName, passes)
-    raise_on_many = "repeated doc_ids need a single block of items"
-    united = together.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.count("*").alias("n"),
-    )
-    return united.withColumn("n_words", F.when(F.col("n") == len(passes), F.col("n_words")).otherwise(F.raise_error(F.lit(raise_on_many)).cast("long"))).drop("n")
+    """(doc_id, n_words, hits, spans, items) of every whole text: hit words by number and as code points.
+
+    The rows pass each block of items in turn, without a join. Between two blocks they are
+    written to the shared folder, so that a worker holds one automaton at a time.
+    """
+    none = F.array()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), none.cast("array<int>").alias("hits"), none.cast("array<string>").alias("items"))
+    n, blocks = blocks_of(items, item_col, item_text, block_chars)
+    for k, block in enumerate(blocks, 1):
+        rows = _pass(rows, block, window, k == n)
+        if k < n:
+            rows = stored(rows, "items-matched")
+    return rows
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -244,29 +246,54 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def without_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the hit stretches; texts with a larger share of hit words than ``coverage`` go.
 
-    Texts change in place, one pass for each block of items, without a join; ``n_chars``
-    follows the text where the column exists.
+    The rows pass each block of items in turn, without a join; the last pass cuts what any
+    block hit. ``n_chars`` follows the text where the column exists.
     """
-    for block in blocks_of(items, "item_id", "text", BLOCK_CHARS):
-        docs = _cleaned(docs, block, window, coverage)
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    hits = "_hits"
+    while hits in docs.columns:
+        hits += "_"
+    rows = docs.withColumn(hits, F.array().cast("array<int>"))
+    n, blocks = blocks_of(items, "item_id", "text", block_chars)
+    for k, block in enumerate(blocks, 1):
+        rows = _cut(rows, hits, block, window, coverage) if k == n else stored(_marked(rows, hits, block, window), "items-marked")
+    rows = rows.drop(hits)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
+
+
+def _marked(rows: DataFrame, hits: str, items: list[tuple[str, str]], window: int) -> DataFrame:
+    """Add the hit words of one block of items to the column ``hits``."""
+    sent = rows.sparkSession.sparkContext.broadcast(Automaton(items, window))
+    place = rows.columns.index(hits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for text, before in zip(texts_of(b), b.column(hits).to_pylist()):
+                hit, _ = sent.value.match(words_of(text))
+                hit[before] = True
+                out.append(np.flatnonzero(hit).tolist())
+            yield b.set_column(place, b.schema.field(place), pa.array(out, b.schema.field(place).type))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
-def _cleaned(docs: DataFrame, items: list[tuple[str, str]], window: int, coverage: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
-    place = docs.columns.index("text")
+def _cut(rows: DataFrame, hits: str, items: list[tuple[str, str]], window: int, coverage: float) -> DataFrame:
+    """Match the last block of items and cut all hit stretches out of the texts."""
+    sent = rows.sparkSession.sparkContext.broadcast(Automaton(items, window))
+    place = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts, kept = b.column("text").to_pylist(), []
-            for i, text in enumerate(texts):
-                hit, _ = sent.value.match(words_of(text or ""))
+            for i, (text, before) in enumerate(zip(texts_of(b), b.column(hits).to_pylist())):
+                hit, _ = sent.value.match(words_of(text))
+                hit[before] = True
                 kept.append(not hit.any() or hit.mean() <= coverage)
-                for s in reversed(spans_of(text or "", hit)):
+                for s in reversed(spans_of(text, hit)):
                     texts[i] = texts[i][: s["start"]].rstrip() + " " + texts[i][s["end"] :].lstrip()
             yield b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type)).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema)

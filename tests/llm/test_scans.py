@@ -129,6 +129,7 @@ def test_spans_items_and_blocks(spark):
     many = {r["doc_id"]: r for r in decontam.scan(docs, _bench(spark), block_chars=20).collect()}
     for i, text in enumerate(texts):
         assert one[i]["hits"] == many[i]["hits"] and one[i]["items"] == many[i]["items"] and one[i]["n_words"] == many[i]["n_words"]
+        assert one[i]["spans"] == many[i]["spans"]
     s = one[0]["spans"][0]
     assert texts[0][s["start"] : s["end"]] == PASSAGE.upper()
     assert one[1]["items"] == ["10"] and one[0]["items"] == ["7"]
@@ -144,6 +145,15 @@ def test_removal_keeps_clean_rows_and_columns(spark):
     assert got == {1: (long.strip() + " " + long), 3: "clean", 4: None}
 
 
+def test_blocks_of_items_change_no_result(spark):
+    rows = [(1, "clean " * 40 + PASSAGE + " short item here " + "clean " * 40, "a"), (2, PASSAGE + " short item here", "b"), (3, None, None), (1, "the same id twice, with a short item here", "c"), (1, "the same id twice, with a short item here", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hits string")
+    one, many = (sorted(map(repr, decontam.without_items(docs, _bench(spark), block_chars=n).collect())) for n in (10**6, 20))
+    assert one == many and len(one) == 4
+    one, many = (sorted(map(repr, decontam.scan(docs, _bench(spark), block_chars=n).collect())) for n in (10**6, 20))
+    assert one == many and len(one) == 5
+
+
 def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string")
