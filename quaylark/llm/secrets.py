@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, stored
 
 RULE_VERSION = "2026.1"
 
@@ -95,11 +95,18 @@ class BlobLedger:
         self.batches.append(self.path)
         return self.rows().count() - before
 
+    def spans_by_blob(self, least: int = 0) -> DataFrame:
+        """(blob, spans) of every scanned blob with ``least`` spans or more, a row each.
+
+        Written to the shared folder: a join on it then has no aggregate beside it, so Spark
+        can split a blob of many paths, or broadcast the table where its size allows.
+        """
+        own = self.rows().where((F.col("rule_version") == self.rule_version) & (F.size("spans") >= least))
+        return stored(own.groupBy("blob").agg(F.max("spans").alias("spans")), "spans-by-blob")  # a batch that ran twice counts once
+
     def findings(self, paths: DataFrame) -> DataFrame:
-        """(path, blob, spans) of every path."""
-        own = self.rows().where(F.col("rule_version") == self.rule_version)
-        own = own.groupBy("blob").agg(F.max("spans").alias("spans"))  # a batch that ran twice counts once
-        return paths.select("path", "blob").join(own, "blob").select("path", "blob", "spans")
+        """(path, blob, spans) of every path whose blob was scanned."""
+        return paths.select("path", "blob").join(self.spans_by_blob(), "blob").select("path", "blob", "spans")
 
 
 def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +142,7 @@ def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     ledger = BlobLedger(docs.sparkSession)
     ledger.scan(blobs(docs))
-    hits = ledger.rows().where((F.col("rule_version") == ledger.rule_version) & (F.size("spans") > 0)).groupBy("blob").agg(F.max("spans").alias("_spans"))
+    hits = ledger.spans_by_blob(least=1).withColumnRenamed("spans", "_spans")
     text = F.col("text")
 
     def merge(acc: Column, s: Column) -> Column:
