@@ -9,8 +9,8 @@ pre-token the same result as merging it alone.
 
 Texts are cut into chunks at white space; the ids of a chunk do not depend on its
 neighbours, so each distinct chunk is merged once per worker and its ids are then
-gathered. The store of chunks is emptied when it reaches ``CHUNKS_KEPT`` entries,
-which bounds memory and changes no result.
+gathered. The store of chunks is emptied before a batch when it has ``CHUNKS_KEPT``
+entries or more, which bounds memory to these and one batch and changes no result.
 
 Edge cases: null and empty texts have no ids; special strings of the vocabulary
 inside a text become their special id; ids outside the vocabulary decode to
@@ -23,7 +23,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import by_size, ragged_take, slices, texts_of
 
-CHUNKS_KEPT = 800_000
+CHUNKS_KEPT = 600_000
 
 #: The split patterns that the two public vocabularies are defined with.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,6 +136,19 @@ class PairIndex:
         return (at - first) % 2 == 0
 
 
+class Places(dict):
+    """Place of each chunk in a store; a chunk that is not stored yet gets the next place and is listed in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        place = self[chunk] = len(self)
+        self.new.append(chunk)
+        return place
+
+
 class Codec:
     """A public byte-pair vocabulary: cutting, merging, ids of whole texts, and back."""
 
@@ -172,7 +185,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.seen = Places()
         self.flat_ids = np.zeros(0, np.int32)
         self.sizes = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
@@ -205,6 +218,9 @@ class Codec:
         return self.chunks(self.normal(text))
 
     def pretokens(self, chunk: str) -> list[str]:
+        letters = chunk if self.by_words else chunk.removeprefix(" ")
+        if letters.isascii() and letters.isalpha():  # one pre-token of either pattern
+            return [chunk]
         return self.pattern.findall(chunk)
 
     # --- encoding ----------------------------------------------------------
@@ -219,9 +235,8 @@ class Codec:
         sym[ends] = self.final[values[ends]]
         return self.index.merge(sym, sizes)
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Store the ids of chunks that are not stored yet."""
-        new = list(chunks)
+    def learn(self, new: list[str]) -> None:
+        """Store the ids of new chunks, whose places follow those stored."""
         cuts = [[c] if c in self.special_chunk else self.pretokens(c) for c in new]
         at: dict[str, int] = {}
         place = np.fromiter((at.setdefault(p, len(at)) for p in chain.from_iterable(cuts)), np.int64)
@@ -236,21 +251,19 @@ class Codec:
         flat = ragged_take(ids, starts[place], counts[place]).astype(np.int32)
         total = np.concatenate([[0], np.cumsum(counts[place])])
         edges = total[np.concatenate([[0], np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))])]
-        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
         self.starts = np.concatenate([self.starts, len(self.flat_ids) + edges[:-1]])
         self.sizes = np.concatenate([self.sizes, np.diff(edges)])
         self.flat_ids = np.concatenate([self.flat_ids, flat])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
+        if len(self.seen) >= CHUNKS_KEPT:
+            self.forget()
         cuts = [self.cut(t) for t in texts]
-        new = set().union(*cuts) - self.seen.keys()
-        if new:
-            if len(self.seen) + len(new) > CHUNKS_KEPT:
-                self.forget()
-                new = set().union(*cuts)
-            self.learn(sorted(new))
         at = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(cuts)), np.int64)
+        if self.seen.new:
+            self.learn(self.seen.new)
+            self.seen.new = []
         sizes = self.sizes[at]
         ends = np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
         total = np.concatenate([[0], np.cumsum(sizes)])
