@@ -10,8 +10,8 @@ new rule version scans all blobs for that rule set anew.
 Places of matches come from ``split`` and ``regexp_extract_all``, which walk the same
 matches from left to right: a match starts after the pieces and matches before it.
 
-Edge cases: null and empty texts are the empty blob, without findings; repeated rows
-share a blob; a blob that most rows share is one row in every aggregate, and its join
+Edge cases: null and empty texts are the empty blob, without findings; rows without an
+id are scanned like others; repeated rows share a blob; a blob that most rows share is one row in every aggregate, and its join
 back to the paths can be split by Spark; columns besides id and text are ignored.
 """
 
@@ -87,8 +87,9 @@ class BlobLedger:
         known = self.rows().where(F.col("rule_version") == self.rule_version).select("blob")
         copies = paths.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("n"))
         unseen = copies.join(known, "blob", "left_anti") if self.batches else copies
-        # the copy with the least path stands for the blob: the join deals texts out by blob and path, not by blob
-        texts = paths.join(unseen.select("blob", "path"), ["blob", "path"], "left_semi")
+        # the copy with the least path (null where no row has one) stands for the blob: the join deals texts out by blob and path, not by blob
+        own, other = paths.alias("own"), unseen.select("blob", "path").alias("other")
+        texts = own.join(other, (F.col("own.blob") == F.col("other.blob")) & F.col("own.path").eqNullSafe(F.col("other.path")), "left_semi")
         found = texts.select("blob", F.lit(self.rule_version).alias("rule_version"), found_spans(F.col("text")).alias("spans"))
         before = self.rows().count() if self.batches else 0
         found.write.mode("append").parquet(self.path)

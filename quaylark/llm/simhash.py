@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts_of
+from .common import one_row_each, slices, stored, text_hash, texts_of
 from .components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -282,7 +282,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return fps.join(classes, "fp").select("doc_id", hexed, "component_id", "group_size")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """Rows of ``docs`` whose doc_id names its component; of repeated doc_ids all rows stay."""
-    kept = near_duplicates(docs, words, distance).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, key_rows: int = KEY_ROWS) -> DataFrame:
+    """One row of each group of linked texts of ``docs``: the least doc_id, a row without one only where no other has one."""
+    fps = stored(fingerprints(docs.select(text_hash().alias("node"), "text"), words, "node").distinct(), "fingerprints")
+    roots = components(links(stored(fps.select("fp").distinct(), "distinct"), distance, key_rows))
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return one_row_each(docs, rooted.select(F.col("doc_id").alias("node"), F.coalesce("root", "fp").alias("root")))

@@ -125,3 +125,12 @@ def test_components_of_a_star_and_a_path(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got.get(i, 0) == 0 for i in range(400))
     assert all(got.get(1000 + i, 1000) == 1000 for i in range(61))
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    """Rows without an id stay where their text is unique; of repeated ids and texts one row stays."""
+    far = [" ".join(f"{name}{i}" for i in range(60)) for name in ("lone", "pair", "same")]
+    rows = [(None, far[0], "a"), (None, far[1], "b"), (8, far[1], "c"), (7, far[2], "e"), (7, far[2], "d"), (7, far[2], "d"), (None, far[2], "f"), (None, None, "g"), (None, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = simhash.one_of_each(docs).select("doc_id", "source").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, "a"), (8, "c"), (7, "d"), (None, "g")], key=repr)
