@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylark.llm import bpe, decontam, langid, secrets, simhash
+from quaylark.llm import bpe, decontam, langid, secrets, shingles
 from quaylark.llm.common import stored, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, the one with the least doc_id."""
-    return simhash.one_of_each(docs)
+    """Keep one document of each group of near copies (five-word shingles, similarity 0.8 or more), the one with the least doc_id."""
+    return shingles.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
