@@ -37,7 +37,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their number and the digests of ids and decoded text."""
-    return bpe.digests(bpe.round_trip(docs, public_tokenizers.path(VOCABULARY)))
+    return bpe.digests(bpe.round_trip(docs, public_tokenizers.path(VOCABULARY)), "ids")
 
 
 STAGES = [
@@ -52,9 +52,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of ``sf_dir``."""
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of ``sf_dir``: the stored token ids with their digests."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of the tokens of ``corpus``, whose last stage stores the ids."""
+    return corpus(spark, sf_dir).drop("ids")

@@ -335,10 +335,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return _two(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """Digest columns of ``round_trip`` rows."""
+def digests(rows: DataFrame, *kept: str) -> DataFrame:
+    """Digest columns of ``round_trip`` rows, beside the columns ``kept``."""
     return rows.select(
         "doc_id",
+        *kept,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
