@@ -137,8 +137,8 @@ def fn_43_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, CASE WHEN k = '' OR length(k) > 500 THEN NULL ELSE k END AS identity FROM (SELECT doc_id, lower(trim(regexp_replace(left(text, 520), '[ \t\r\n]+', ' ', 'g'))) AS k FROM documents)""")
 def fn_46_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-46: normal form for comparing names; here of the first 520 characters of a text, as a heading."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.identity(F.substring("text", 1, 520)).alias("identity"))
+    """FN-46: normal form for comparing names; here of whole texts, as a heading."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.identity(F.col("text")).alias("identity"))
 
 
 _UTM = ["https://a.de/x?utm_source=b&id=1", "https://a.de/x?id=1&utm_medium=c", "https://a.de/x?utm_a=1", "https://a.de/x#top"]
