@@ -8,9 +8,10 @@ merge creates pairs of higher rank only, so one ascending sweep gives every
 pre-token the same result as merging it alone.
 
 Texts are cut into chunks at white space; the ids of a chunk do not depend on its
-neighbours, so each distinct chunk is merged once per worker and its ids are then
+neighbours, so each distinct chunk is merged once per task and its ids are then
 gathered. The store of chunks is emptied before a batch when it has ``CHUNKS_KEPT``
-entries or more, which bounds memory to these and one batch and changes no result.
+entries or ``CHARS_KEPT`` characters, and when the task ends, which bounds memory to
+these and one batch and changes no result.
 
 Edge cases: null and empty texts have no ids; special strings of the vocabulary
 inside a text become their special id; ids outside the vocabulary decode to
@@ -24,6 +25,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -33,9 +35,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, ragged_take, slices, texts_of
+from .common import by_size, in_batches, ragged_take, slices, texts_of
 
-CHUNKS_KEPT = 600_000
+CHUNKS_KEPT, CHARS_KEPT = 200_000, 4_000_000
 
 #: The split patterns that the two public vocabularies are defined with.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -185,7 +187,9 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
+        """Empty the store of chunks."""
         self.seen = Places()
+        self.chars = 0
         self.flat_ids = np.zeros(0, np.int32)
         self.sizes = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
@@ -257,12 +261,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
-        if len(self.seen) >= CHUNKS_KEPT:
+        if len(self.seen) >= CHUNKS_KEPT or self.chars >= CHARS_KEPT:
             self.forget()
         cuts = [self.cut(t) for t in texts]
         at = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(cuts)), np.int64)
         if self.seen.new:
             self.learn(self.seen.new)
+            self.chars += sum(map(len, self.seen.new))
             self.seen.new = []
         sizes = self.sizes[at]
         ends = np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
@@ -289,6 +294,18 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@contextmanager
+def task_codec(path: str) -> Iterator[Codec]:
+    """The vocabulary at ``path`` for one task, without chunks of other tasks before or after it."""
+    own = codec(path)
+    own.forget()
+    try:
+        yield own
+    finally:
+        own.forget()
+        pa.default_memory_pool().release_unused()
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
@@ -299,12 +316,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for b in by_size(batches):
-            ids, counts = own.encode(texts_of(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, counts)], ["doc_id", "ids"])
+        with task_codec(path) as own:
+            for b in by_size(batches):
+                ids, counts = own.encode(texts_of(b))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, counts)], ["doc_id", "ids"])
 
-    return _two(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return in_batches(_two(docs, id_col, text_col), run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -318,7 +335,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             texts = own.decode(np.concatenate(lists), np.fromiter(map(len, lists), np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return in_batches(rows.select("doc_id", "ids"), run, f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,13 +343,13 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for b in by_size(batches):
-            ids, counts = own.encode(texts_of(b))
-            texts = own.decode(ids, counts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, counts), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        with task_codec(path) as own:
+            for b in by_size(batches):
+                ids, counts = own.encode(texts_of(b))
+                texts = own.decode(ids, counts)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, counts), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return _two(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return in_batches(_two(docs, id_col, text_col), run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(rows: DataFrame, *kept: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts_of
+from .common import in_batches, slices, stored, texts_of
 
 WINDOW = 10
 #: Characters of test items that one automaton may hold (about 1 GB a worker at most).
@@ -214,7 +214,7 @@ def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int, last: bool
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), hits, names], ["doc_id", "text", "hits", "items"])
 
     gives = f"doc_id {kind}, n_words long, hits array<int>, spans {SPANS}, items array<string>" if last else f"doc_id {kind}, text string, hits array<int>, items array<string>"
-    return rows.mapInArrow(run, gives)
+    return in_batches(rows, run, gives)
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -277,7 +277,7 @@ def _marked(rows: DataFrame, hits: str, items: list[tuple[str, str]], window: in
                 out.append(np.flatnonzero(hit).tolist())
             yield b.set_column(place, b.schema.field(place), pa.array(out, b.schema.field(place).type))
 
-    return rows.mapInArrow(run, rows.schema)
+    return in_batches(rows, run, rows.schema)
 
 
 def _cut(rows: DataFrame, hits: str, items: list[tuple[str, str]], window: int, coverage: float) -> DataFrame:
@@ -296,4 +296,4 @@ def _cut(rows: DataFrame, hits: str, items: list[tuple[str, str]], window: int,
                     texts[i] = texts[i][: s["start"]].rstrip() + " " + texts[i][s["end"] :].lstrip()
             yield b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type)).filter(pa.array(kept))
 
-    return rows.mapInArrow(run, rows.schema)
+    return in_batches(rows, run, rows.schema)

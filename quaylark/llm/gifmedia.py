@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import in_batches, slices, texts_of
 
 WIDTH, ROWS, FILL, DELAY_CS = 576, 64, 255, 10
 BINS = 16
@@ -251,7 +251,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return in_batches(rows, run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def _decoded(data: bytes | None) -> tuple[bytes | None, list[dict] | None, list[int] | None]:
@@ -281,7 +281,7 @@ def from_media(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "payload", "frames", "histogram", "media_bytes", "media_sha256"])
 
     rows = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload binary, frames {FRAMES}, histogram array<long>, media_bytes long, media_sha256 string")
+    return in_batches(rows, run, f"doc_id {kind}, n_bytes long, payload binary, frames {FRAMES}, histogram array<long>, media_bytes long, media_sha256 string")
 
 
 def report(read: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_each, slices, stored, text_hash, texts_of
+from .common import in_batches, one_row_each, slices, stored, text_hash, texts_of
 from .components import components
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
@@ -82,7 +82,7 @@ def _keys(texts: DataFrame) -> DataFrame:
             nodes = np.repeat(b.column("node").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
 
-    return texts.mapInArrow(run, "key long, node long")
+    return in_batches(texts, run, "key long, node long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             sets = pa.array([shingle_set(t).tobytes() for t in texts_of(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("node"), sets], ["node", "own"])
 
-    return texts.mapInArrow(run, "node long, own binary")
+    return in_batches(texts, run, "node long, own binary")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
             keep = pa.array([similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in sets], pa.bool_())
             yield b.select(["u", "v"]).filter(keep)
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return in_batches(pairs, run, "u long, v long")
 
 
 def block_links(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:

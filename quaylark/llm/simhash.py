@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_each, slices, stored, text_hash, texts_of
+from .common import in_batches, one_row_each, slices, stored, text_hash, texts_of, wider
 from .components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return in_batches(rows, run, f"doc_id {kind}, fp long")
 
 
 # --- partitions and thresholds ---------------------------------------------
@@ -233,7 +233,7 @@ def verified(groups: DataFrame, distance: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: tuple[np.ndarray, ...] | None = None
         number = 0
-        for b in batches:
+        for b in wider(batches):
             cols = [b.column(c).to_numpy() for c in ("part", "key", "a", "b", "fp")]
             if left is not None:
                 cols = [np.concatenate(x) for x in zip(left, cols)]

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CHUNKS_KEPT, Codec, _two, codec
-from .common import by_size, texts_of
+from .bpe import CHARS_KEPT, CHUNKS_KEPT, Codec, _two, codec
+from .common import by_size, in_batches, texts_of
 
 MAX_TOKENS = 2048
 
@@ -41,10 +41,10 @@ def proven_whole_tokens(path: str) -> frozenset[str]:
 
 
 class Counter:
-    """Counts tokens of texts; keeps the counts of chunks seen, up to ``CHUNKS_KEPT``."""
+    """Counts tokens of texts; keeps the counts of chunks seen, up to ``CHUNKS_KEPT`` and ``CHARS_KEPT``."""
 
     def __init__(self, own: Codec, whole: frozenset[str]):
-        self.own, self.whole, self.seen = own, whole, {}
+        self.own, self.whole, self.seen, self.chars = own, whole, {}, 0
 
     def learn(self, chunks: list[str]) -> None:
         rest: list[tuple[str, list[str]]] = []
@@ -65,10 +65,11 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         cuts = [self.own.cut(t) for t in texts]
         new = set().union(*cuts) - self.seen.keys()
-        if len(self.seen) + len(new) > CHUNKS_KEPT:
-            self.seen = {}
+        if len(self.seen) >= CHUNKS_KEPT or self.chars >= CHARS_KEPT:
+            self.seen, self.chars = {}, 0
             new = set().union(*cuts)
         self.learn(sorted(new))
+        self.chars += sum(map(len, new))
         size = self.seen.__getitem__
         return [sum(map(size, c)) for c in cuts]
 
@@ -85,4 +86,4 @@ def count_tokens(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, id_co
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = _two(docs, id_col, text_col).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > max_tokens)
+    return in_batches(rows, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > max_tokens)

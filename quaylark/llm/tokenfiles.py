@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import by_size, fresh_path, texts_of
+from .common import by_size, fresh_path, in_batches, texts_of
 
 MANIFEST = "part string, n_docs long, n_ids long, wide boolean"
 
@@ -74,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, parts: in
             yield pa.RecordBatch.from_pydict({"part": [name], "n_docs": [n_docs], "n_ids": [at], "wide": [wide]})
 
     placed = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = sorted(tuple(r) for r in placed.mapInArrow(run, MANIFEST).collect())  # one row a part
+    done = sorted(tuple(r) for r in in_batches(placed, run, MANIFEST).collect())  # one row a part
     before = [0, *accumulate(n for _, _, n, _ in done)]
     return [(*r, base) for r, base in zip(done, before)]
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import in_batches, slices, texts_of
 
 MAX_TRAIN, MIN_DOCS = 8000, 5
 STEMS = (4, 5, 6, 7)
@@ -84,7 +84,7 @@ def fit(train: DataFrame, grades: int, steps: int = 300, penalty: float = 1e-4)
             yield pa.RecordBatch.from_arrays([b.column("grade"), rows], ["grade", "words"])
 
     rows = train.where(F.col("grade").isNotNull()).select(F.col("grade").cast("int").alias("grade"), F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(run, "grade int, words array<long>").toArrow()
+    got = in_batches(rows, run, "grade int, words array<long>").toArrow()
     grade = got.column("grade").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
     lists = got.column("words").combine_chunks()
     if not len(grade):
@@ -164,7 +164,7 @@ def grade_severity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     toxic = F.col("severity") >= model.cut
     grade = F.when(toxic, F.greatest(F.lit(1), F.round("severity").cast("int"))).otherwise(F.lit(0))
-    return rows.mapInArrow(run, f"doc_id {kind}, severity double").withColumns({"grade": grade, "toxic": toxic})
+    return in_batches(rows, run, f"doc_id {kind}, severity double").withColumns({"grade": grade, "toxic": toxic})
 
 
 def severity_labels(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
