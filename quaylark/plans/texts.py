@@ -141,13 +141,6 @@ OFFERS = [
 ]
 
 
-@query("""SELECT * FROM (VALUES (1, 90000::BIGINT, 120000::BIGINT, 'USD', 'year'), (2, 55000, 65000, 'EUR', 'year'), (3, NULL, NULL, NULL, NULL), (4, 2500, 2500, 'GBP', 'hour'), (5, 8000, 9500, 'CHF', 'month'), (6, NULL, NULL, NULL, NULL), (7, NULL, NULL, NULL, NULL), (8, NULL, NULL, NULL, NULL), (9, NULL, NULL, NULL, NULL)) t(id, least, most, currency, period)""")
-def fn_10_salary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-10 to FN-19: pay ranges and amounts with context."""
-    df = spark.createDataFrame(OFFERS, "id int, text string")
-    return extract.with_salary(df, "text").select("id", "salary.least", "salary.most", "salary.currency", "salary.period")
-
-
 @query("""SELECT * FROM (VALUES (1, NULL::INTEGER, NULL::INTEGER), (2, NULL, NULL), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, 5, NULL), (8, 2, 4), (9, NULL, NULL)) t(id, least, most)""")
 def fn_26_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-26: years of experience, the highest minimum."""
