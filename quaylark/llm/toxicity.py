@@ -5,13 +5,15 @@ longer words. One weight for each feature is shared by all ordered thresholds: P
 logistic s and rising t_k. The expected severity is the sum of P(grade > k) over k.
 
 The model is fitted on the driver on at most ``MAX_TRAIN`` labelled rows, drawn by a
-hash of the id; words of fewer than ``MIN_DOCS`` of these rows, or that occur about as
-often in clean ones (``LEAST_CHI2``), have no weight. Scoring
-runs over all rows and whole texts.
+hash of the id. Features of fewer than ``MIN_DOCS`` of these rows, or that occur about as
+often in clean ones (``LEAST_CHI2``), have no weight; they are counted in Spark, and only
+the ``MAX_FEATURES`` with the greatest chi-square, and the rows' shares of these, come to
+the driver. Scoring runs over all rows and whole texts.
 
 Edge cases: null, empty and wordless texts have no features and get the severity of the
-intercept; null labels are not learnt from; without labelled rows every severity is 0;
-repeated rows give one row each.
+intercept; null labels are not learnt from, nor are rows without doc_id; a repeated
+doc_id is learnt from once, with its least text; labels that contradict each other both
+count; without labelled rows every severity is 0; scoring gives one row for each row.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, slices, texts_of
+from .common import in_batches, slices, stored, texts_of
 
-MAX_TRAIN, MIN_DOCS = 8000, 5
+MAX_TRAIN, MIN_DOCS, MAX_FEATURES = 8000, 5, 20_000
+#: Words that mark severity in training: those most typical of toxic rows, at most so many.
+MAX_MARKS = 200
 STEMS = (4, 5, 6, 7)
 #: Words whose chi-square against the grade is lower carry no weight: long texts hold many that are noise.
 LEAST_CHI2 = 40.0
@@ -84,29 +88,28 @@ def fit(train: DataFrame, grades: int, steps: int = 300, penalty: float = 1e-4)
             yield pa.RecordBatch.from_arrays([b.column("grade"), rows], ["grade", "words"])
 
     rows = train.where(F.col("grade").isNotNull()).select(F.col("grade").cast("int").alias("grade"), F.col("text").cast("string").alias("text"))
-    got = in_batches(rows, run, "grade int, words array<long>").toArrow()
-    grade = got.column("grade").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-    lists = got.column("words").combine_chunks()
+    rows = stored(in_batches(rows, run, "grade int, words array<long>").withColumn("row", F.monotonically_increasing_id()), "training-rows")
+    graded = rows.select("row", "grade").toArrow()  # bounded as the training rows are
+    order = np.argsort(graded.column("row").to_numpy())
+    number, grade = graded.column("row").to_numpy()[order], graded.column("grade").to_numpy()[order].astype(np.int64)
     if not len(grade):
         return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.5)
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    sizes = np.diff(lists.offsets.to_numpy())
-    owner = np.repeat(np.arange(len(grade)), sizes)
-    keys, word, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    common = (seen >= MIN_DOCS) & (_association(seen, np.bincount(word, grade[owner] > 0, len(keys)), len(grade), int((grade > 0).sum())) >= LEAST_CHI2)
-    place = np.cumsum(common) - 1
-    keep = common[word]
-    owner, word, keys = owner[keep], place[word[keep]], keys[common]
+    each = rows.select("row", "grade", F.explode("words").alias("word"))
+    seen = each.groupBy("word").agg(F.count("*").alias("seen"), F.count_if(F.col("grade") > 0).alias("marked"))
+    score = association(F.col("seen"), F.col("marked"), len(grade), int((grade > 0).sum()))
+    kept = seen.where((F.col("seen") >= MIN_DOCS) & (score >= LEAST_CHI2)).orderBy(score.desc(), "word").limit(MAX_FEATURES).select("word")
+    shares = each.join(F.broadcast(kept), "word").select("row", "word").toArrow()
+    owner = np.searchsorted(number, shares.column("row").to_numpy())
+    keys, word = np.unique(shares.column("word").to_numpy(), return_inverse=True)
     order = np.lexsort((word, owner))  # the same sums whatever order the rows came in
-    owner, word = owner[order], word[order]
-    return _descend(owner, word, keys, grade, grades, steps, penalty)
+    return _descend(owner[order], word[order], keys, grade, grades, steps, penalty)
 
 
-def _association(seen: np.ndarray, marked: np.ndarray, n: int, positive: int) -> np.ndarray:
-    """Chi-square of each word against grade > 0, from its texts and those of them that are graded."""
-    expected = seen * positive / n
-    spread = expected * (1 - positive / n) * (1 - seen / n) * n / max(n - 1, 1)
-    return (marked - expected) ** 2 / np.maximum(spread, 1e-9)
+def association(seen: Column, marked: Column, n: int, positive: int) -> Column:
+    """Chi-square of a feature against grade > 0, from its texts and those of them that are graded."""
+    expected = seen * (positive / n)
+    spread = expected * (1 - positive / n) * (1 - seen / n) * (n / max(n - 1, 1))
+    return F.pow(marked - expected, 2) / F.greatest(spread, F.lit(1e-9))
 
 
 def _descend(owner: np.ndarray, word: np.ndarray, keys: np.ndarray, grade: np.ndarray, grades: int, steps: int, penalty: float) -> Ordinal:
@@ -172,15 +175,18 @@ def severity_labels(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -
 
     The labels only say toxic or not. A word marks toxicity where toxic sample rows
     hold it in ``MIN_DOCS`` texts or more and at least 20 times as often, by share of
-    texts, as clean ones; a toxic text with 1, 2 or more distinct such words has grade
-    1, 2 or 3.
+    texts, as clean ones (the ``MAX_MARKS`` with the greatest ratio); a toxic text with
+    1, 2 or more distinct such words has grade 1, 2 or 3.
     """
     sample = sampled(labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct(), most)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # at most ``most`` ids
-    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most ``most`` ids
+    rows = stored(own.join(sample, "doc_id"), "labelled")
+    distinct = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    words = rows.select("toxic", F.explode(distinct).alias("word"))
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad = words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c"))
     ratio = (F.col("t") / max(n.get(1, 0), 1)) / ((F.col("c") + 0.5) / max(n.get(0, 0), 1))
-    marked = [r["word"] for r in bad.where((F.col("t") >= MIN_DOCS) & (ratio >= 20)).orderBy(ratio.desc(), "word").limit(200).collect()]
-    hits = F.size(F.array_intersect(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))), F.array(*map(F.lit, marked)).cast("array<string>")))
+    marked = [r["word"] for r in bad.where((F.col("t") >= MIN_DOCS) & (ratio >= 20)).orderBy(ratio.desc(), "word").limit(MAX_MARKS).collect()]
+    hits = F.size(F.array_intersect(distinct, F.array(*map(F.lit, marked)).cast("array<string>")))
     return rows.select("text", F.when(F.col("toxic") == 1, F.least(F.greatest(hits, F.lit(1)), F.lit(3))).otherwise(0).alias("grade"))
