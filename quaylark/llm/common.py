@@ -78,6 +78,14 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_hash(text_col: str = "text") -> Column:
     """64-bit hash that names a text; null and the empty text are alike."""
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -90,19 +98,20 @@ def one_row_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     ``groups`` are groups of their own. Of rows alike in text and doc_id (or without one)
     the least by all columns stays.
     """
-    named = docs.withColumn("_node", text_hash())
-    alike = named.groupBy("_node", "doc_id").agg(F.count("*").alias("n"))
-    least = alike.groupBy("_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("_node").alias("node"), F.col("n"))).alias("least"))
-    rooted = least.join(groups.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    node = free_name(docs, "_node")
+    named = docs.withColumn(node, text_hash())
+    alike = named.groupBy(F.col(node).alias("node"), "doc_id").agg(F.count("*").alias("n"))
+    least = alike.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("node"), F.col("n"))).alias("least"))
+    rooted = least.join(groups.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.node", "least.doc_id", "least.n"), "kept")
 
     def rows_of(wanted: DataFrame) -> DataFrame:
         own, other = named.alias("own"), wanted.alias("other")
-        return own.join(other, (F.col("own._node") == F.col("other.node")) & F.col("own.doc_id").eqNullSafe(F.col("other.doc_id")), "left_semi")
+        return own.join(other, (F.col(f"own.{node}") == F.col("other.node")) & F.col("own.doc_id").eqNullSafe(F.col("other.doc_id")), "left_semi")
 
     out = rows_of(kept.where("n = 1")).select(*docs.columns)
     repeated = kept.where("n > 1")
     if repeated.isEmpty():
         return out
-    first = rows_of(repeated).groupBy("_node", "doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row"))
+    first = rows_of(repeated).groupBy(node, "doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row"))
     return out.unionByName(first.select("row.*"))

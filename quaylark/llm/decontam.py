@@ -9,9 +9,10 @@ Most words of a text cannot be part of a match. Only stretches of words whose
 neighbours also stand side by side in some item are streamed, which loses nothing: a
 match of two words or more never spans other neighbours.
 
-The automaton is sent to all tasks only up to ``BLOCK_CHARS`` characters of items;
-larger test sets are dealt to blocks, one automaton and one pass over the rows for
-each; a pass adds its hits to those of the passes before it.
+Items are cut to pieces of ``PIECE`` words that overlap by a window less one word, so that
+each window lies in a piece, and equal pieces count once. An automaton holds about
+``BLOCK_CHARS`` characters of pieces; larger test sets are dealt to blocks, one automaton
+and one pass over the rows for each; a pass adds its hits to those of the passes before.
 
 Edge cases: null, empty and wordless texts have no words and no hits; wordless items
 never occur; repeated items each count; items with a null item_id count under an
@@ -21,6 +22,7 @@ empty name; repeated rows give one row each; without items nothing is hit.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, slices, stored, texts_of
+from .common import free_name, in_batches, slices, stored, texts_of
 
 WINDOW = 10
-#: Characters of test items that one automaton may hold (about 1 GB a worker at most).
-BLOCK_CHARS = 16_000_000
+#: Characters of test items that one automaton holds (about 120 MB a worker), and words of a piece of an item.
+BLOCK_CHARS, PIECE = 2_000_000, 2000
 #: Share of hit words above which a text goes as a whole.
 COVERAGE = 0.5
 
-#: The words of ``words_of`` in a text as it is, capitals included.
+#: The words of ``words_of`` in a lower-cased text, as a pattern; and in a text as it is, capitals included.
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
 
@@ -181,13 +184,28 @@ SPANS = "array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
-    """How many blocks the test items make, and the blocks on the driver, one after another."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+def pieces_of(items: DataFrame, id_col: str, text_col: str, window: int, piece: int = PIECE) -> DataFrame:
+    """(item, piece): the words of each item, in pieces that share ``window`` - 1 words with the next one.
+
+    An item with fewer words than a window is one piece; one of a window or more has no shorter piece.
+    """
+    lower = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.regexp_extract_all(lower, F.lit(WORDS), F.lit(0))
+    step = max(piece, window) - window + 1
+    last = F.greatest(F.size("words") - window, F.lit(0))
+    starts = F.sequence(F.lit(0), last, F.lit(step))
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words.alias("words")).where(F.size("words") > 0)
+    return rows.select("item", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("words", s + 1, step + window - 1), " "))).alias("piece"))
+
+
+def blocks_of(items: DataFrame, id_col: str, text_col: str, block_chars: int, window: int = WINDOW, piece: int = PIECE) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks the test items make, and the blocks of (item, piece) on the driver, one after another."""
+    rows = pieces_of(items, id_col, text_col, window, piece).groupBy("piece").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    rows = stored(rows, "item-pieces")
+    chars = rows.agg(F.sum(F.length("piece"))).first()[0] or 0
     n = 1 + chars // block_chars
-    own = (rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
-    return n, ([tuple(r) for r in block.collect()] for block in own)
+    own = (rows.where(F.pmod(F.xxhash64("piece"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
+    return n, ([(name, r["piece"]) for r in block.collect() for name in r["names"]] for block in own)
 
 
 def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int, last: bool) -> DataFrame:
@@ -225,7 +243,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     """
     none = F.array()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), none.cast("array<int>").alias("hits"), none.cast("array<string>").alias("items"))
-    n, blocks = blocks_of(items, item_col, item_text, block_chars)
+    n, blocks = blocks_of(items, item_col, item_text, block_chars, window)
     for k, block in enumerate(blocks, 1):
         rows = _pass(rows, block, window, k == n)
         if k < n:
@@ -252,11 +270,9 @@ def without_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     The rows pass each block of items in turn, without a join; the last pass cuts what any
     block hit. ``n_chars`` follows the text where the column exists.
     """
-    hits = "_hits"
-    while hits in docs.columns:
-        hits += "_"
+    hits = free_name(docs, "_hits")
     rows = docs.withColumn(hits, F.array().cast("array<int>"))
-    n, blocks = blocks_of(items, "item_id", "text", block_chars)
+    n, blocks = blocks_of(items, "item_id", "text", block_chars, window)
     for k, block in enumerate(blocks, 1):
         rows = _cut(rows, hits, block, window, coverage) if k == n else stored(_marked(rows, hits, block, window), "items-marked")
     rows = rows.drop(hits)

@@ -60,7 +60,8 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = np.where(letters, codes, 32).astype(np.int64)
     keep = letters.copy()
     keep[1:] |= letters[:-1]
-    codes = np.concatenate([[32], codes[keep], [32]])
+    codes = codes[keep]
+    codes = np.concatenate([[32], codes, [32] if codes[-1] != 32 else []]).astype(np.int64)
     grams_ = sum(codes[i : len(codes) - NGRAM + 1 + i] << (_BITS * i) for i in range(NGRAM))
     return np.unique(grams_, return_counts=True)
 

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import free_name, fresh_path, stored
 
 RULE_VERSION = "2026.1"
 
@@ -143,7 +143,8 @@ def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     ledger = BlobLedger(docs.sparkSession)
     ledger.scan(blobs(docs))
-    hits = ledger.spans_by_blob(least=1).withColumnRenamed("spans", "_spans")
+    blob, spans = free_name(docs, "_blob"), free_name(docs, "_spans")
+    hits = ledger.spans_by_blob(least=1).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     text = F.col("text")
 
     def merge(acc: Column, s: Column) -> Column:
@@ -153,16 +154,16 @@ def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"])
         return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(span)))
 
-    stretches = F.aggregate("_spans", F.array().cast("array<struct<start:int,end:int>>"), merge)
+    stretches = F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), merge)
     cut = F.aggregate(
         stretches,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
     )
-    named = docs.withColumn("_blob", F.sha2(F.coalesce(text, F.lit("")), 256))
-    both = named.join(hits.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    new = both.withColumn("text", F.when(F.col("_spans").isNotNull(), cut).otherwise(text))
+    named = docs.withColumn(blob, F.sha2(F.coalesce(text, F.lit("")), 256))
+    both = named.join(hits, blob, "left")
+    new = both.withColumn("text", F.when(F.col(spans).isNotNull(), cut).otherwise(text))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return new.select(*docs.columns)
