@@ -1,9 +1,12 @@
 """Near copies by the shingles that two texts share: linked at a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands: of each text the least of ``BANDS * ROWS`` hashes over
-its five-word shingles, ``ROWS`` of them to a key. Two texts of similarity s share a key
-with probability 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8. No candidate is linked unverified:
-similarity is counted over the sets of shingle hashes (32 bits of a 64-bit hash).
+Candidates come from two sides. SimHash fingerprints of five-word shingles within 4 bits
+(``simhash.links``) find most texts that differ in a few words only. Texts at 0.8 differ in
+10 of 64 bits on average, which no partition of 64 bits can probe at scale, so MinHash bands
+add the others: of each text the least of ``BANDS * ROWS`` hashes over its shingles, ``ROWS``
+of them to a key. Two texts of similarity s share a key with probability
+1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8. No candidate is linked unverified: similarity is
+counted over the sets of shingle hashes (32 bits of a 64-bit hash).
 
 Each key first compares its members with its least member, so its candidates grow with its
 members and not with their pairs. Keys whose members are still in several groups then
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import in_batches, one_row_each, slices, stored, text_hash, texts_of
 from .components import components
 
@@ -142,6 +146,16 @@ def _across(members: DataFrame) -> DataFrame:
     return members.groupBy("key", "a", "b").applyInArrow(run, "u long, v long")
 
 
+def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v) of nodes whose SimHash fingerprints link: one node a fingerprint beside the least node of each linked one."""
+    fps = stored(simhash.fingerprints(texts, WORDS, "node").distinct(), "fingerprints")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    alike = fps.join(least, "fp").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
+    near = simhash.links(stored(least.select("fp"), "distinct"))
+    far = near.join(least.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
+    return alike.unionByName(far.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).where("u < v")
+
+
 def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, root) of every text of ``docs`` that is linked; node is its ``text_hash``."""
     texts = docs.select(text_hash().alias("node"), F.col("text").cast("string").alias("text"))
@@ -149,8 +163,9 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     shared = stored(least.where("least < most").select("key", "least"), "shared-keys")
     members = stored(keys.join(shared, "key").select("key", "least", "node").distinct(), "members")
-    pairs = members.where("least < node").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    wanted = stored(members.select("node").distinct(), "wanted")
+    banded = members.where("least < node").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    pairs = stored(banded.unionByName(_fingerprint_pairs(texts)).distinct(), "pairs")
+    wanted = stored(members.select("node").union(pairs.select("u")).union(pairs.select("v")).distinct(), "wanted")
     # a text of many rows is hashed once for each, and one set of it stays
     sets = stored(_sets(texts.join(wanted, "node", "left_semi")).groupBy("node").agg(F.first("own").alias("own")), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
