@@ -154,6 +154,41 @@ def test_blocks_of_items_change_no_result(spark):
     assert one == many and len(one) == 5
 
 
+def test_equal_and_very_long_items_make_bounded_blocks(spark):
+    """Equal items count once, long ones are cut with an overlap; no block exceeds its size by more than a piece."""
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(3000))
+    items = spark.createDataFrame([(i, PASSAGE) for i in range(2000)] + [(5000, long)], "item_id long, text string")
+    n, blocks = decontam.blocks_of(items, "item_id", "text", 4000, piece=50)
+    blocks = list(blocks)
+    assert n == len(blocks) > 3
+    for block in blocks:
+        assert sum(len(p) for p in {p for _, p in block}) < 4000 * 2
+    words = long.split()
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[40:70]) + " y"), (2, " ".join(words[45:54])), (3, PASSAGE.lower()), (4, long)], "doc_id long, text string")
+    want = {r["doc_id"]: (r["hits"], r["items"]) for r in decontam.scan(docs, items).collect()}
+    got = {r["doc_id"]: (r["hits"], r["items"]) for r in decontam.scan(docs, items, block_chars=4000).collect()}
+    assert got == want
+    assert len(want[1][0]) == 30 and not want[2][0] and len(want[3][1]) == 2000 and len(want[4][0]) == 3000
+    pieces = decontam.pieces_of(items.where("item_id = 5000"), "item_id", "text", 10, 25)
+    windows = {tuple(p.split()[i : i + 10]) for r in pieces.collect() for p in [r["piece"]] for i in range(len(p.split()) - 9)}
+    assert windows == {tuple(words[i : i + 10]) for i in range(len(words) - 9)}
+
+
+def test_masking_with_clashing_columns(spark):
+    rows = [(1, "token=abcdefghijklmnop", "a", "b", 5), (2, None, "c", "d", None), (2, None, "c", "d", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string, _BLOB string, n_chars int")
+    got = secrets.masked(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "[SECRET]", "a", "b", 8), (2, None, "c", "d", None), (2, None, "c", "d", None)], key=repr)
+
+
+def test_chat_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", "x", "y"), (1, 1, "assistant", "b", "x", "y")], "conv_id long, turn long, role string, text string, formatted string, raw string")
+    r = chat.report(chat.format_conversations(df)).first()
+    assert (r["n_turns"], r["loss_chars"]) == (2, 1)
+
+
 def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string")

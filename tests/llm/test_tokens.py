@@ -123,11 +123,48 @@ def test_token_files_layout(spark, tmp_path):
     assert np.fromfile(f"{name}.docs", "<i8")[0] == 0
 
 
-def test_token_files_need_ids_and_may_be_empty(spark):
+def test_token_files_place_rows_without_ids_first_and_may_be_empty(spark):
     path = public_tokenizers.path(NAMES[1])
-    with pytest.raises(Exception, match="doc_id"):
-        tokenfiles.token_files(spark.createDataFrame([(None, "a")], "doc_id long, text string"), path, 2, 2)
+    library = Tokenizer.from_file(path)
+    rows = [(None, "a b"), (-5, "c"), (None, None), (0, "d e f"), (7, "x"), (7, "x"), (7, "y z")]
+    df = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, part string, number int")
+    got = tokenfiles.token_files(df, path, 2, 3).orderBy("start").collect()
+    sums = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got)
+    want = [(i is not None, i or 0, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows]
+    assert sums == sorted((a, b, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for a, b, x in want)
+    assert [r["doc_id"] for r in got] == [None, None, -5, 0, 7, 7, 7]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert tokenfiles.token_files(empty, path, 2, 2).count() == 0
     assert bpe.round_trip(empty, path).count() == 0
     assert tokencount.count_tokens(empty, path).count() == 0
+
+
+def test_token_files_of_a_set_follow_the_manifest(spark, tmp_path):
+    """Files of attempts that the manifest does not name are no part of the set; parts keep their number's order."""
+    path, folder = public_tokenizers.path(NAMES[1]), f"file://{tmp_path}/set"
+    df = spark.createDataFrame([(i, f"word {i}") for i in range(60)], "doc_id long, text string")
+    parts = tokenfiles.write_tokens(df, path, folder, 2, 12)
+    (tmp_path / "set" / "part-00000-lost.tokens").write_bytes(b"\1\2")
+    assert [p[5] for p in parts] == sorted(p[5] for p in parts) and sum(p[1] for p in parts) == 60
+    assert [r["doc_id"] for r in tokenfiles.read_tokens(spark, folder).orderBy("start").collect()] == [*range(60)]
+
+
+def test_tokens_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "some words", "a", "b", "c"), (1, "some words", "a", "b", "c"), (None, None, "a", "b", "c")], "doc_id long, text string, ids string, decoded string, n_bytes string")
+    path = public_tokenizers.path(NAMES[0])
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.digests(bpe.round_trip(df, path)).collect()) == [(0, 0), (1, 2), (1, 2)]
+    got = tokencount.count_tokens(df, public_tokenizers.path(NAMES[1])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in got) == [(0, 0, 0), (1, 10, 2), (1, 10, 2)]
+
+
+def test_long_chunks_empty_the_store(monkeypatch):
+    path = public_tokenizers.path(NAMES[1])
+    texts = odd_texts(200)
+    want = bpe.Codec(path).encode(texts)[0].tolist()
+    monkeypatch.setattr(bpe, "CHARS_KEPT", 30)
+    own = bpe.Codec(path)
+    assert sum((own.encode([t])[0].tolist() for t in texts), []) == want
+    with bpe.task_codec(path) as kept:
+        kept.encode(texts)
+    assert not kept.seen and not len(kept.flat_ids)
