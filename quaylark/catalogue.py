@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import checks, cycles, pay, relations, scalars, search, sourcing, texts  # noqa: F401
+from .plans import checks, cycles, pay, reads, relations, scalars, search, sourcing, texts, writes  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

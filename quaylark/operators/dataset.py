@@ -36,3 +36,13 @@ def verdict(rules: dict[str, Column]) -> tuple[Column, Column]:
     """(accepted, names of failed rules joined by commas)."""
     failed = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
     return F.size(failed) == 0, F.array_join(failed, ",")
+
+
+def window_size(n: int) -> int:
+    """Rows that a sample of n is drawn from."""
+    return min(50_000, max(10_000, 250 * n))
+
+
+def agrees(a: Column, b: Column, tolerance: float) -> Column:
+    """Two numbers within a tolerance, or both null."""
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.abs(a - b) <= tolerance)

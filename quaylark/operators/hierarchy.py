@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 MAX_HOPS = 20
 
 
 def closure(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(id, ancestor_id, depth) of every node, itself at depth 0; cycles end at ``max_hops``.
 
-    A recursive common table expression; ``edges`` is (id, parent_id).
+    One join a level of the tree, each level written to the shared folder: a recursive
+    table expression would stop at Spark's limit of rows. ``edges`` is (id, parent_id).
     """
-    spark = edges.sparkSession
-    edges.select("id", "parent_id").createOrReplaceTempView("_tree_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, ancestor_id, depth) AS (
-          SELECT id, id, 0 FROM _tree_edges
-          UNION ALL
-          SELECT up.id, e.parent_id, up.depth + 1 FROM up JOIN _tree_edges e ON up.ancestor_id = e.id
-          WHERE e.parent_id IS NOT NULL AND up.depth < {max_hops}
-        )
-        SELECT id, ancestor_id, depth FROM up""")
+    up = edges.select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("next")).where("next IS NOT NULL")
+    level = edges.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    levels = [level]
+    for depth in range(1, max_hops + 1):
+        higher = level.join(up, "ancestor_id").select("id", F.col("next").alias("ancestor_id"), F.lit(depth).alias("depth"))
+        level = stored(higher, "tree-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def root_path(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """(id, path): ids from the root down to the node itself."""
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("ancestor_id").alias("a"))))
+    return closure(edges, max_hops).groupBy("id").agg(F.transform(steps, lambda s: s["a"]).alias("path"))
 
 
 def descendants(edges: DataFrame, root: int) -> DataFrame:

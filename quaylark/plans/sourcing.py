@@ -89,13 +89,6 @@ def src_23_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.best_detector(table(spark, sf_dir, "pages"), rules).groupBy("monitor").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'a,b'), (2, 'c'), (3, 'd'), (4, 'e')) t(bucket, ids)""")
-def src_26_facet_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-25/26/27: facet values filled into queries below a cap."""
-    got = readers.facet_buckets([("a", 900), ("b", 900), ("c", 500), ("d", None), ("e", 10)], 2000)
-    return spark.createDataFrame([(i, ",".join(b)) for i, b in enumerate(got, 1)], "bucket int, ids string")
-
-
 @query("""
 WITH f AS (SELECT doc_id % 50 AS id, lang, min(source) AS title FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2)
 SELECT id, coalesce(max(title) FILTER (lang = 'de'), arg_min(title, lang)) AS title, string_agg(lang, ',' ORDER BY lang) AS locales FROM f GROUP BY 1""")
@@ -112,10 +105,3 @@ def src_28_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "orders").agg(F.count("*").alias("advertised"), F.count_if(F.col("o_orderkey") % 200 != 0).alias("found"))
     short = F.col("found") < F.col("advertised") - F.greatest(F.lit(1), F.ceil(F.col("advertised") / 100))
     return n.select("advertised", F.when(short, F.raise_error(F.lit("incomplete cycle")).cast("bigint")).otherwise(F.col("found")).alias("found"))
-
-
-@query("""SELECT * FROM (VALUES (2, 6, 1), (1, 2, 2)) t(id, score, rank)""")
-def src_16_array_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-16: which captured response holds a list of postings."""
-    rows = [(1, '{"items":[{"title":"a"}]}'), (2, '{"items":[{"title":"a","url":"u"},{"title":"b","url":"v"}]}'), (3, '{"items":[{"x":"1"}]}')]
-    return readers.scored_arrays(spark.createDataFrame(rows, "id int, body string"), "id", "body")

@@ -228,9 +228,76 @@ def best_detector(df: DataFrame, rules: list[tuple[str, int, Column]]) -> DataFr
     return df.withColumn("monitor", out)
 
 
-def scored_arrays(payload: DataFrame, key: str, column: str) -> DataFrame:
-    """Arrays inside JSON payloads, the likeliest list of postings first: objects with titles and links."""
+def scored_arrays(payload: DataFrame, key: str, column: str, source: str) -> DataFrame:
+    """Arrays inside JSON payloads, the likeliest list of postings of each source first: objects with titles and links."""
     items = F.from_json(F.get_json_object(F.col(column), "$.items"), "array<map<string,string>>")
     score = F.aggregate(items, F.lit(0), lambda a, m: a + F.when(F.array_contains(F.map_keys(m), "title"), 2).otherwise(0) + F.when(F.array_contains(F.map_keys(m), "url"), 1).otherwise(0))
-    w = Window.orderBy(F.desc("score"), key)
-    return payload.select(key, score.alias("score")).where("score > 0").withColumn("rank", F.row_number().over(w))
+    w = Window.partitionBy(source).orderBy(F.desc("score"), key)
+    return payload.select(key, source, score.alias("score")).where("score > 0").withColumn("rank", F.row_number().over(w))
+
+
+#: Where the page state of a framework begins.
+FRAMEWORKS = (("next", r'<script id="__NEXT_DATA__"[^>]*>\s*'), ("router", r"window\.__(?:remixContext|reactRouterContext)\s*=\s*"), ("flight", r"self\.__next_f\.push\("))
+
+
+def framework_payloads(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, framework, payload): the JSON value behind the first framework marker of each page."""
+    found = F.lit(None).cast("struct<framework:string,rest:string>")
+    for name, mark in reversed(FRAMEWORKS):
+        rest = F.regexp_extract(F.col(html), "(?s)" + mark + "(.*)", 1)
+        found = F.when(F.col(html).rlike(mark), F.struct(F.lit(name).alias("framework"), rest.alias("rest"))).otherwise(found)
+    rows = pages.select(key, found.alias("f")).where("f IS NOT NULL")
+    return rows.select(key, "f.framework", _json_value("f.rest").alias("payload")).where("payload IS NOT NULL")
+
+
+@F.pandas_udf("string")
+def _leading_json(text: pd.Series) -> pd.Series:
+    decoder = json.JSONDecoder()
+
+    def first(raw: str | None) -> str | None:
+        try:
+            return json.dumps(decoder.raw_decode(raw or "")[0], separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return text.map(first)
+
+
+def _json_value(column: str) -> Column:
+    """The JSON value at the start of a text, compact; null where there is none."""
+    return _leading_json(F.col(column))
+
+
+def chosen_facet(counts: DataFrame) -> DataFrame:
+    """(source, facet): of rows (source, facet, value, n, cap) the facet with most values, none of them at the cap or above."""
+    by = counts.groupBy("source", "facet").agg(F.count("*").alias("k"), F.max("n").alias("top"), F.max("cap").alias("cap"))
+    return by.where("top < cap").groupBy("source").agg(F.max_by("facet", F.struct("k", "facet")).alias("facet"))
+
+
+def filled_buckets(counts: DataFrame, source: str, value: str, n: str, cap: str) -> DataFrame:
+    """(source, value, place, bucket): values of each source in their order, filled greedily into buckets below the cap.
+
+    A value of unknown size (null) stands alone. The fold carries one row a value of one
+    source: facets have few values, however many rows they count.
+    """
+    zero = F.struct(F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("full"), F.array().cast("array<struct<value:string,bucket:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = x["n"].isNull() | acc["full"] | (acc["size"] + x["n"] >= F.col("_cap"))
+        bucket = acc["bucket"] + new.cast("int")
+        row = F.struct(x["v"].cast("string").alias("value"), bucket.alias("bucket"))
+        return F.struct(bucket.alias("bucket"), F.coalesce(F.when(new, x["n"]).otherwise(acc["size"] + x["n"]), F.lit(0)).cast("bigint").alias("size"), x["n"].isNull().alias("full"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col(n).cast("bigint").alias("n"))))
+    by = counts.groupBy(source).agg(ordered.alias("all"), F.max(cap).alias("_cap"))
+    return by.select(source, F.posexplode(F.aggregate("all", zero, step, lambda acc: acc["out"])).alias("at", "b")).select(source, "b.value", (F.col("at") + 1).cast("bigint").alias("place"), "b.bucket")
+
+
+#: Names that keys of a posting usually have, the likelier first.
+USUAL_KEYS = {"title": ("title", "jobTitle", "name", "position"), "url": ("url", "applyUrl", "link", "href"), "location": ("location", "city", "locationName")}
+
+
+def auto_mapped(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, title, url, location) of JSON objects of unknown shape."""
+    first = lambda names: F.coalesce(*[F.get_json_object(F.col(body), f"$.{n}") for n in names])
+    return rows.select(key, *[first(names).alias(field) for field, names in USUAL_KEYS.items()])
