@@ -124,35 +124,24 @@ def with_experience(df: DataFrame, text: str) -> DataFrame:
 # --- occupation and place by dictionaries ------------------------------------------
 
 
-def with_occupation(df: DataFrame, key: str, title: str, aliases: DataFrame) -> DataFrame:
-    """``df`` with the slug of the longest alias (alias, slug) that stands in the title between word borders.
+def with_occupation(df: DataFrame, key: str, title: str, aliases: DataFrame, least_bag: int = 4) -> DataFrame:
+    """``df`` with the slug of an alias (alias, slug): the whole title, else the longest alias between word
+    borders, else the longest of ``least_bag`` words or more whose words all occur in any order.
 
     Titles and aliases meet on their words: an alias is a candidate where its first word
     occurs, so nothing is compared with everything.
     """
     first = aliases.withColumn("word", F.split("alias", " ")[0])
     words = df.select(key, title, F.explode(F.array_distinct(F.split(F.col(title), " "))).alias("word"))
-    hit = words.join(first, "word").where(F.contains(F.concat(F.lit(" "), F.col(title), F.lit(" ")), F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
-    best = hit.groupBy(key).agg(F.max_by("slug", F.struct(F.length("alias"), "slug")).alias("occupation"))
+    parts = F.split("alias", " ")
+    inside = F.contains(F.concat(F.lit(" "), F.col(title), F.lit(" ")), F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
+    bag = (F.size(parts) >= least_bag) & (F.size(F.array_except(parts, F.split(F.col(title), " "))) == 0)
+    step = F.when(F.col("alias") == F.col(title), 3).when(inside, 2).when(bag, 1)
+    hit = words.join(first, "word").withColumn("step", step).where("step IS NOT NULL")
+    best = hit.groupBy(key).agg(F.max_by("slug", F.struct("step", F.length("alias"), "slug")).alias("occupation"))
     return df.join(best, key, "left")
 
 
-def resolve_places(raw: DataFrame, key: str, text: str, names: DataFrame, entries: DataFrame) -> DataFrame:
-    """(key, id) of the best place for a raw string such as ``City, Region``.
-
-    names is (name, id), entries (id, parent_id, kind, population). Parts are matched from
-    the right; a part inside the place matched further right wins, then the larger one.
-    Distinct strings are resolved once and joined back by the caller.
-    """
-    parts = F.transform(F.split(F.lower(F.col(text)), "[,;]"), lambda p: F.trim(p))
-    rows = raw.select(key, F.posexplode(F.reverse(parts)).alias("at", "name"))
-    found = rows.join(names, "name").join(entries, "id")
-    outer = found.select(F.col(key).alias("_k"), F.col("id").alias("outer_id"), F.col("at").alias("outer_at"))
-    nested = found.join(outer, (F.col(key) == F.col("_k")) & (F.col("parent_id") == F.col("outer_id")) & (F.col("at") > F.col("outer_at")), "left")
-    rank = F.struct(F.col("outer_id").isNotNull(), F.col("at"), F.col("population"), -F.col("id"))
-    return nested.groupBy(key).agg(F.max_by("id", rank).alias("id"))
-
-
 # --- language ----------------------------------------------------------------------
 
 #: Frequent function words of each language.

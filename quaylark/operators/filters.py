@@ -141,8 +141,22 @@ def url_kind(url: Column) -> Column:
     )
 
 
-GARBAGE_TITLES = ("", "n/a", "null", "none", "undefined", "untitled", "test", "-")
+#: Titles of pages that a login, an error or a check stood in for.
+GARBAGE_TITLES = ("not logged in", "log in to career profile", "access denied", "just a moment...", "page not found", "404", "403 forbidden", "sign in", "login", "redirecting")
 
 
 def garbage_title(title: Column) -> Column:
+    """Titles of login, error and redirect pages."""
     return F.lower(F.trim(title)).isin(*GARBAGE_TITLES)
+
+
+def display_key(name: Column) -> Column:
+    """Sort key: lower case, accents off, runs of digits padded to four or more places."""
+    base = F.translate(F.lower(name), "äáàâãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
+    return F.regexp_replace(F.regexp_replace(base, r"(\d+)", "000$1"), r"0*(\d{4,})(?!\d)", "$1")
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A stored filter as JSON: values sorted, each once, keys in the order of their names; empty fields are left out."""
+    kept = {n: F.array_sort(F.array_distinct(c)) for n, c in sorted(fields.items())}
+    return F.to_json(F.struct(*[F.when(F.size(c) > 0, c).alias(n) for n, c in kept.items()]))

@@ -25,15 +25,13 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def matched(index: DataFrame, key: str, words: Sequence[str], typos: bool = True) -> DataFrame:
     """(key, matched, edits, exact) of rows of the index that match a word."""
-    parts = []
+    tests = []
     for i, word in enumerate(words):
         exact, prefix = F.col("token") == word, F.startswith(F.col("token"), F.lit(word))
-        near = F.levenshtein(F.col("token"), F.lit(word), 1) == 1 if typos and len(word) >= 4 else F.lit(False)
-        hit = index.where(exact | prefix | near)
-        parts.append(hit.select(key, F.lit(i).alias("word"), F.when(exact | prefix, 0).otherwise(1).alias("edits"), exact.cast("int").alias("exact")))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+        # one edit moves the length by one at most, which spares most comparisons
+        near = (F.abs(F.length("token") - len(word)) <= 1) & (F.levenshtein(F.col("token"), F.lit(word), 1) == 1) if typos and len(word) >= 4 else F.lit(False)
+        tests.append(F.when(exact | prefix | near, F.struct(F.lit(i).alias("word"), F.when(exact | prefix, 0).otherwise(1).alias("edits"), exact.cast("int").alias("exact"))))
+    hits = index.select(key, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("hit")).select(key, "hit.*")  # one scan, whatever the words
     best = hits.groupBy(key, "word").agg(F.min("edits").alias("edits"), F.max("exact").alias("exact"))
     return best.groupBy(key).agg(F.count("*").alias("matched"), F.sum("edits").alias("edits"), F.sum("exact").alias("exact"))
 
@@ -67,3 +65,23 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     dlat, dlng = F.radians(lat2 - lat1), F.radians(lng2 - lng1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng / 2), 2)
     return F.lit(12742.0) * F.asin(F.sqrt(a))
+
+
+def field_weight(hits: Sequence[tuple[Column, int]]) -> Column:
+    """The greatest weight of the fields that match; 0 where none does."""
+    return F.greatest(F.lit(0), *[F.when(hit, weight).otherwise(0) for hit, weight in hits])
+
+
+def in_language(hits: DataFrame, locale: str, wanted: str) -> DataFrame:
+    """Hits in the wanted language; all English ones where it has none."""
+    own = hits.where(F.col(locale) == wanted)
+    there = own.limit(1).select(F.lit(True).alias("_there"))
+    english = hits.where(F.col(locale) == "en").join(there, F.lit(True), "left_anti")
+    return own.unionByName(english)
+
+
+def numbered_top(df: DataFrame, order: Sequence[Column], k: int, alias: str = "place") -> DataFrame:
+    """The first k rows with their place; only these are numbered in one task."""
+    from pyspark.sql import Window
+
+    return df.orderBy(*order).limit(k).withColumn(alias, F.row_number().over(Window.orderBy(*order)))

@@ -31,15 +31,6 @@ def fn_01_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
-_MOJI = ["KÃ¶ln", "MÃ¼nchen â€“ BÃ¼ro", "plain", "cafÃ©", None]
-
-
-@query("SELECT * FROM (VALUES ('KÃ¶ln', 'Köln'), ('MÃ¼nchen â€“ BÃ¼ro', 'München – Büro'), ('plain', 'plain'), ('cafÃ©', 'café'), (NULL, NULL)) t(raw, fixed)")
-def fn_02_mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-02: wrong decoding repaired."""
-    return _values(spark, _MOJI).select("raw", S.unmojibake(F.col("raw")).alias("fixed"))
-
-
 @query(f"SELECT page_id, round(length({_STRIP}) / length(html), 6) >= 0.3 AS covered FROM pages")
 def fn_05_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-05: share of text in a page against a gate."""
@@ -47,33 +38,6 @@ def fn_05_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", (share >= 0.3).alias("covered"))
 
 
-@query("""
-WITH c AS (SELECT doc_id, unnest(generate_series(0, greatest(1, ceil(length(text) / 500.0))::BIGINT - 1)) AS i, text FROM documents)
-SELECT doc_id, i::INTEGER AS i, length(substr(text, i * 500 + 1, 500)) AS n FROM c""")
-def fn_09_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-08/09: pieces of 500 code points."""
-    c = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.chunks(F.col("text"))).alias("i", "c"))
-    return c.select("doc_id", "i", F.length("c").cast("long").alias("n"))
-
-
-_NUMBERS = ["1.234,50", "120'000", "85K", "1,234.50", "99", "1.500", "abc"]
-
-
-@query("SELECT * FROM (VALUES ('1.234,50', 1234.5::DOUBLE), ('120''000', 120000.0), ('85K', 85000.0), ('1,234.50', 1234.5), ('99', 99.0), ('1.500', 1500.0), ('abc', NULL)) t(raw, value)")
-def fn_20_locale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-20: numbers of several locales."""
-    return _values(spark, _NUMBERS).select("raw", S.decimal_number(F.col("raw")).alias("value"))
-
-
-_PERIODS = ["per hour", "Annual", "monthly", "pro day", "WEEK", "per annum", "lump sum"]
-
-
-@query("SELECT * FROM (VALUES ('per hour', 'hour'), ('Annual', 'year'), ('monthly', 'month'), ('pro day', 'day'), ('WEEK', 'week'), ('per annum', 'year'), ('lump sum', NULL)) t(raw, period)")
-def fn_21_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-21/35: pay periods, exact name before substring."""
-    return _values(spark, _PERIODS).select("raw", S.salary_period(F.col("raw")).alias("period"))
-
-
 @query("""
 WITH r AS (SELECT * FROM (VALUES ('1-URGENT', 1.0), ('2-HIGH', 0.92), ('3-MEDIUM', 1.17)) t(o_orderpriority, rate)),
 x AS (SELECT o_orderkey AS id, o_totalprice AS v, rate FROM orders LEFT JOIN r USING (o_orderpriority))
@@ -99,75 +63,6 @@ def fn_27_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(61).select(F.col("id").cast("int").alias("raw"), S.experience_years(F.col("id")).alias("years"))
 
 
-_TITLES = ["Senior Data Engineer (m/w/d)", "Head of Sales", "Product Manager", "Teamleiterin Einkauf", "Jr. Développeur", "VP Engineering", "Intern", "Staff Engineer", "Clerk"]
-
-
-@query("""SELECT * FROM (VALUES ('Senior Data Engineer (m/w/d)', 'senior', 'senior data engineer'), ('Head of Sales', 'director', 'head of sales'), ('Product Manager', NULL, 'product manager'), ('Teamleiterin Einkauf', 'manager', 'teamleiterin einkauf'),
- ('Jr. Développeur', 'junior', 'jr. developpeur'), ('VP Engineering', 'executive', 'vp engineering'), ('Intern', 'internship', 'intern'), ('Staff Engineer', 'principal', 'staff engineer'), ('Clerk', NULL, 'clerk')) t(raw, level, key)""")
-def fn_32_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-31/32/66: title keys and ordered seniority rules."""
-    return _values(spark, _TITLES).select("raw", S.seniority(F.col("raw")).alias("level"), S.title_key(F.col("raw")).alias("key"))
-
-
-_ENUMS = ["Full-Time", "TEILZEIT", "Remote (EU only)", "on-site", "freelance", "unknown"]
-
-
-@query("SELECT * FROM (VALUES ('Full-Time', 'full_time', NULL), ('TEILZEIT', 'part_time', NULL), ('Remote (EU only)', NULL, 'remote'), ('on-site', NULL, 'onsite'), ('freelance', 'contract', NULL), ('unknown', NULL, NULL)) t(raw, employment, place)")
-def fn_33_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-33/34: employment and location types."""
-    return _values(spark, _ENUMS).select("raw", S.employment_type(F.col("raw")).alias("employment"), S.location_type(F.col("raw")).alias("place"))
-
-
-_TEXTS = ["C++ and C# on .NET", "Python, JS, SQL", "We go places", "Apache Spark in Java", "javascripting"]
-
-
-@query("SELECT * FROM (VALUES ('C++ and C# on .NET', 'c++,csharp,dotnet'), ('Python, JS, SQL', 'python,javascript,sql'), ('We go places', ''), ('Apache Spark in Java', 'java,spark'), ('javascripting', '')) t(raw, found)")
-def fn_28_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-28/29: technologies between smart borders."""
-    return _values(spark, _TEXTS).select("raw", F.array_join(S.technologies(F.col("raw"), S.TECHNOLOGIES), ",").alias("found"))
-
-
-@query(r"""SELECT page_id, 'https://' || lower(split_part(split_part(url, '//', 2), '/', 1)) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '/+$', '') ||
- CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS canonical, split_part(split_part(url, '//', 2), '/', 1) AS domain
-FROM (SELECT page_id, url, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_|ref=|gclid=|fbclid=|page=)'))) AS k FROM pages)""")
-def fn_43_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-43/44/45/56: canonical URL and domain."""
-    return table(spark, sf_dir, "pages").select("page_id", S.canonical_url(F.col("url")).alias("canonical"), S.domain(F.col("url")).alias("domain"))
-
-
-@query(r"""SELECT doc_id, CASE WHEN k = '' OR length(k) > 500 THEN NULL ELSE k END AS identity FROM (SELECT doc_id, lower(trim(regexp_replace(left(text, 520), '[ \t\r\n]+', ' ', 'g'))) AS k FROM documents)""")
-def fn_46_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-46: normal form for comparing names; here of whole texts, as a heading."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.identity(F.col("text")).alias("identity"))
-
-
-_UTM = ["https://a.de/x?utm_source=b&id=1", "https://a.de/x?id=1&utm_medium=c", "https://a.de/x?utm_a=1", "https://a.de/x#top"]
-
-
-@query("SELECT * FROM (VALUES ('https://a.de/x?utm_source=b&id=1', 'https://a.de/x?id=1'), ('https://a.de/x?id=1&utm_medium=c', 'https://a.de/x?id=1'), ('https://a.de/x?utm_a=1', 'https://a.de/x'), ('https://a.de/x#top', 'https://a.de/x#top')) t(raw, url)")
-def fn_47_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-47: tracking parameters out."""
-    return _values(spark, _UTM).select("raw", S.without_utm(F.col("raw")).alias("url"))
-
-
-_SLUGS = ["Research & Development", "C++ Dev", "  Café Zürich!  ", "a--b"]
-
-
-@query("SELECT * FROM (VALUES ('Research & Development', 'research-and-development'), ('C++ Dev', 'c-plus-plus-dev'), ('  Café Zürich!  ', 'cafe-zurich'), ('a--b', 'a-b')) t(raw, slug)")
-def fn_48_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-48: slugs."""
-    return _values(spark, _SLUGS).select("raw", S.slug(F.col("raw")).alias("slug"))
-
-
-@query("""SELECT doc_id, sha256(text) AS full_hash, sha256(concat_ws(chr(31), coalesce(source, ''), coalesce(lang, ''), text)) AS joined, left(sha256(doc_id::VARCHAR), 2) AS bucket FROM documents""")
-def fn_49_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-49/50/51/52/53: content hash (checked against its hexadecimal form), joined hash and bucket."""
-    h = S.content_hash(F.col("text"))
-    same = F.lpad(F.lower(F.hex(h)), 16, "0") == F.substring(F.sha2("text", 256), 1, 16)
-    full = F.when(same, F.sha2("text", 256)).otherwise(F.raise_error(F.lit("content hash differs")).cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", full.alias("full_hash"), S.joined_hash(F.col("source"), F.col("lang"), F.col("text")).alias("joined"), S.bucket256(F.sha2(F.col("doc_id").cast("string"), 256)).alias("bucket"))
-
-
 _DATES = ["2024-03-01T10:00:00Z", "1709251200", "1709251200000", "1.3.2024", "Fri, 01 Mar 2024 10:00:00 UTC", "soon"]
 
 
@@ -215,18 +110,6 @@ def fn_63_experience_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", least.alias("least"), most.alias("most"))
 
 
-@query("SELECT * FROM (VALUES ('de-CH', 'de'), (' EN_us ', 'en'), ('fr', 'fr')) t(raw, tag)")
-def fn_65_primary_subtag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-65: primary subtag of a locale."""
-    return _values(spark, ["de-CH", " EN_us ", "fr"]).select("raw", S.primary_subtag(F.col("raw")).alias("tag"))
-
-
-@query("SELECT * FROM (VALUES (30, '1m'), (600, '10m'), (7200, '2h'), (200000, '2d'), (700000, '1w'), (3000000, '1mo'), (40000000, '1y')) t(raw, label)")
-def fn_67_relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-67/68: relative labels."""
-    return _values(spark, [30, 600, 7200, 200000, 700000, 3000000, 40000000], "int").select("raw", S.relative_label(F.col("raw")).alias("label"))
-
-
 @query("""SELECT event_id, (props ->> '$.k') || '/' || CASE WHEN event_id % 2 = 0 THEN 'v2' ELSE 'v1' END AS merged FROM events""")
 def fn_69_map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-69: shallow merge of maps in which the later value wins."""

@@ -88,16 +88,6 @@ def flt_08_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_order(spark, sf_dir).where(filters.intervals_overlap("lo", "hi", 3, 8))
 
 
-@query("SELECT filter_key FROM (VALUES ('{\"languages\":[\"de\",\"en\"],\"locations\":[3,7],\"salary\":[50000,null]}')) t(filter_key)")
-def flt_11_canonical_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-11: equal filters in any order have one canonical form."""
-    import json
-
-    forms = [filters.PostingFilter(locations=a, languages=b, salary=(50_000, None)) for a, b in (([7, 3], ["en", "de"]), ([3, 7, 3], ["de", "en"]))]
-    keys = sorted({json.dumps(f.canonical(), separators=(",", ":")) for f in forms})
-    return spark.createDataFrame([(k,) for k in keys], "filter_key string")
-
-
 @query(r"SELECT page_id FROM pages WHERE regexp_matches(url, '/(en|de)/') AND NOT regexp_matches(url, 'page=|#top')")
 def flt_12_url_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-12: include and exclude patterns on the URL."""
@@ -185,14 +175,6 @@ def flt_20_qualifying_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.crossJoin(F.broadcast(asof)).select("user_id", empty.alias("is_trivial"), (named & old & rich).alias("qualifies"))
 
 
-@query("""SELECT title, lower(trim(title)) IN ('', 'n/a', 'null', 'none', 'undefined', 'untitled', 'test', '-') AS garbage
-FROM (VALUES ('Data Engineer'), (' N/A '), ('Untitled'), ('Tester'), ('-')) t(title)""")
-def flt_22_garbage_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-22: titles that say nothing."""
-    df = spark.createDataFrame([(t,) for t in ("Data Engineer", " N/A ", "Untitled", "Tester", "-")], "title string")
-    return df.select("title", filters.garbage_title(F.col("title")).alias("garbage"))
-
-
 @query("SELECT doc_id FROM documents WHERE source = 'src1' AND lang = 'en' AND n_chars >= 1000")
 def flt_23_scrub_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-23: a conjunction of the fields that are set; an empty one is refused."""
@@ -377,21 +359,6 @@ def srt_09_keyset_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.top(after, [F.desc_nulls_last("seen"), F.asc("id")], 50).select("id", F.coalesce(F.col("seen").cast("date").cast("string"), F.lit("-")).alias("day"))
 
 
-@query("""SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'Item 2' THEN 'item 0002' WHEN 'item 10' THEN 'item 0010' ELSE lower(strip_accents(name)) END, name)::INTEGER AS position
-FROM (VALUES ('Zebra'), ('äpfel'), ('Apfel'), ('Item 2'), ('item 10'), ('Übung')) t(name)""")
-def srt_10_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-10: base letters without accents and case, numbers by value."""
-    names = spark.createDataFrame([(n,) for n in ("Zebra", "äpfel", "Apfel", "Item 2", "item 10", "Übung")], "name string")
-    w = Window.orderBy(display_key(F.col("name")), "name")
-    return names.select("name", F.row_number().over(w).alias("position"))
-
-
-def display_key(name: Column) -> Column:
-    """Sort key: lower case, accents off, runs of digits padded to four or more places."""
-    base = F.translate(F.lower(name), "äáàâãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
-    return F.regexp_replace(F.regexp_replace(base, r"(\d+)", "000$1"), r"0*(\d{4,})(?!\d)", "$1")
-
-
 @query(f"""
 WITH n AS (SELECT c.place_id, count(*) AS n FROM {POSTINGS} p JOIN {COMPANIES} c USING (company_id) WHERE is_active GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY n DESC, place_id) AS rank FROM n)

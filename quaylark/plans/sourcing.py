@@ -9,27 +9,6 @@ from ..registry import query
 from ..sources import readers
 from ..tables import table
 
-LD_PAGES = [
-    (1, '<script type="application/ld+json">{"@type":"JobPosting","title":"Engineer","hiringOrganization":{"name":"Acme"},"employmentType":["PART_TIME","FULL_TIME"],"datePosted":"2024-03-01","baseSalary":{"currency":"EUR","value":{"minValue":50000,"maxValue":60000,"unitText":"YEAR"}}}</script>'),
-    (2, '<script type="application/ld+json"><![CDATA[{"@graph":[{"@type":"WebPage"},{"@type":"JobPosting","title":"Cook","hiringOrganization":"Bistro","baseSalary":{"currency":"CHF","unitText":"HOUR","value":28}}]}]]></script>'),
-    (3, '<script type="application/ld+json">{"@type":"Article","title":"No"}</script> JobPosting'),
-    (4, "<p>nothing</p>"),
-    (5, None),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, 'Engineer', 'Acme', 'FULL_TIME', '2024-03-01', 'EUR', '50000', '60000', 'YEAR'), (2, 'Cook', 'Bistro', NULL, NULL, 'CHF', '28', '28', 'HOUR')) t(page_id, title, company, employment_type, date_posted, currency, "least", "most", unit)""")
-def src_11_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-11: structured postings inside pages."""
-    return readers.json_ld_postings(spark.createDataFrame(LD_PAGES, "page_id int, html string"), "page_id", "html")
-
-
-@query("""SELECT * FROM (VALUES (1, '{"a": "}{", "b": [1, 2]}'), (3, '[1, {"x": null}]')) t(page_id, payload)""")
-def src_12_embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-12/13/30: JSON behind a script marker."""
-    rows = [(1, '<script>window.state = {"b":[1,2],"a":"}{"}; go()</script>'), (2, "window.state = {broken"), (3, 'window.state=\n[1,{"x":null}]'.replace("state=", "state =")), (4, "none")]
-    return readers.embedded_json(spark.createDataFrame(rows, "page_id int, html string"), "page_id", "html", "window.state =")
-
 
 @query(r"""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*["'']([^"''#][^"'']*)["'']', 1), lambda u: replace(u, '&amp;', '&')))) AS link FROM pages""")
 def src_15_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,34 +16,6 @@ def src_15_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(readers.links(F.col("html"))).alias("link"))
 
 
-@query("""SELECT * FROM (VALUES ('https://a.de/1?x=1&y=2'), ('https://a.de/2')) t(loc)""")
-def src_08_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-08: locations of a sitemap, with or without a name space."""
-    xml = '<urlset xmlns:s="x"><url><loc> https://a.de/1?x=1&amp;y=2 </loc></url><s:url><s:loc>https://a.de/2</s:loc></s:url></urlset>'
-    return spark.createDataFrame([(xml,)], "xml string").select(F.explode(readers.sitemap_locations(F.col("xml"))).alias("loc"))
-
-
-@query("""SELECT * FROM (VALUES ('Cook', 'https://a.de/1'), ('Nurse & Aide', 'https://a.de/2')) t(title, link)""")
-def src_09_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-09: RSS items and Atom entries."""
-    xml = '<rss><item><title>Cook</title><link>https://a.de/1</link></item></rss><feed><entry><title><![CDATA[Nurse & Aide]]></title><link rel="x" href="https://a.de/2"/></entry></feed>'
-    return spark.createDataFrame([(xml,)], "xml string").select(F.inline(readers.feed_items(F.col("xml"))))
-
-
-@query("""SELECT * FROM (VALUES ('USD', 0.8::DOUBLE), ('CHF', 1.0)) t(currency, to_eur)""")
-def src_10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-10: reference rates, inverted and kept to 12 places."""
-    xml = "<Cube><Cube currency='USD' rate='1.25'/><Cube currency='CHF' rate='1.0'/></Cube>"
-    return spark.createDataFrame([(xml,)], "xml string").select(F.inline(readers.euro_rates(F.col("xml")))).select("currency", F.col("to_eur").cast("double").alias("to_eur"))
-
-
-@query("""SELECT * FROM (VALUES ('a', 'en', 'Cook', FALSE), ('a', 'de', 'Koch', FALSE), ('b', 'en', 'Nurse', FALSE), ('a', 'any', 'chef', TRUE), ('a', 'any', 'kitchen hand', TRUE)) t(slug, locale, name, is_alias)""")
-def src_03_wide_locales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-01/02/03: a registry with one column a locale, made long."""
-    df = spark.createDataFrame([("a", "Cook", "Koch", "chef|kitchen hand"), ("b", "Nurse", None, "")], "slug string, en string, de string, aliases string")
-    return readers.wide_to_long(df, "slug", ["en", "de"], "aliases")
-
-
 @query("SELECT event_id, TRY_CAST(value AS INTEGER) AS value, TRY_CAST(event_type AS BIGINT) AS event_type FROM (SELECT event_id, floor(value) AS value, event_type FROM events)")
 def src_04_lenient_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-04: projection with casts that give null instead of failing."""
