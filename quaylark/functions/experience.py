@@ -12,7 +12,7 @@ _UNIT = r"\+?\s?(?:years|year|yrs|yr|jahre|jahren|ans|años)\b"
 FAMILIES = (
     r"(?<![\d.,–-])(?P<low>\d{1,2})\s?(?:-|–|\bto\b)\s?(?P<high>\d{1,2})\s?" + _UNIT,
     r"(?:at least|minimum(?: of)?|min\.?|over|mindestens|au moins|al menos)\s(?P<low>\d{1,2})\s?" + _UNIT,
-    r"(?<![\d.,–-])(?<!to )(?P<low>\d{1,2})\s?" + _UNIT + r"(?=[^.\n]{0,40}(?:experience|erfahrung|expérience|experiencia))",
+    r"(?<![\d.,–-])(?<![–-] )(?<!to )(?P<low>\d{1,2})\s?" + _UNIT + r"(?=[^.\n]{0,40}(?:experience|erfahrung|expérience|experiencia))",
 )
 #: What speaks of the company, its history or its people when it stands before a number.
 NOT_ASKED = r"(founded|for over|history|our company|established|warranty|years? old|celebrat)[^.\n]{0,60}$"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,27 +73,58 @@ def fold(events: DataFrame, key: str, order: Column, outcome: str) -> DataFrame:
 
     success: all counters 0, active. failure: one more, quarantined from 5 on. empty: one
     more, suspect from 3, gone from 6 on. gone: two in a row, with nothing between, end the
-    board. One sorted array a board (as long as its own log) and one fold over it.
+    board. Rows are sorted within partitions of the key and folded as they pass, so a task
+    holds one batch and one state, however long the log of a board is.
     """
-    log = events.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(outcome).alias("x")))), lambda r: r["x"]).alias("log"))
-    zero = F.struct(F.lit("active").alias("status"), F.lit(0).alias("failures"), F.lit(0).alias("empties"), F.lit(0).alias("gones"))
-
-    def step(s: Column, x: Column) -> Column:
-        failures = F.when(x == "failure", s["failures"] + 1).when(x == "success", 0).otherwise(s["failures"])
-        empties = F.when(x == "empty", s["empties"] + 1).when(x == "success", 0).otherwise(s["empties"])
-        gones = F.when(x == "gone", s["gones"] + 1).otherwise(0)
-        status = (
-            F.when(s["status"] == "gone", "gone")
-            .when(x == "success", "active")
-            .when((gones >= 2) | (empties >= EMPTY_DELIST), "gone")
-            .when(gones == 1, "gone_pending")
-            .when(failures >= FAILURES_QUARANTINE, "quarantined")
-            .when(empties >= EMPTY_SUSPECT, "suspect")
-            .otherwise(s["status"])
-        )
-        return F.struct(status.alias("status"), failures.alias("failures"), empties.alias("empties"), gones.alias("gones"))
-
-    return log.select(key, F.aggregate("log", zero, step).alias("s")).select(key, "s.status", "s.failures", "s.empties")
+    rows = events.select(F.col(key).alias("k"), order.alias("o"), F.col(outcome).alias("x")).repartition("k").sortWithinPartitions("k", "o", "x")
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_type, now, state, done = None, None, START, []
+        begun = False
+        for b in batches:
+            key_type = b.schema.field("k").type
+            for k, x in zip(b.column("k").to_pylist(), b.column("x").to_pylist()):
+                if begun and k != now:
+                    done.append((now, *state[:3]))
+                    state = START
+                now, begun = k, True
+                state = after_outcome(state, x)
+            if done:
+                yield _states(done, key_type)
+                done = []
+        if begun:
+            yield _states([(now, *state[:3])], key_type)
+
+    return rows.mapInArrow(run, f"k {kind}, status string, failures int, empties int").withColumnRenamed("k", key)
+
+
+START = ("active", 0, 0, 0)
+
+
+def after_outcome(state: tuple[str, int, int, int], outcome: str | None) -> tuple[str, int, int, int]:
+    """(status, failures, empties, gones) after one more outcome."""
+    status, failures, empties, gones = state
+    failures = failures + 1 if outcome == "failure" else 0 if outcome == "success" else failures
+    empties = empties + 1 if outcome == "empty" else 0 if outcome == "success" else empties
+    gones = gones + 1 if outcome == "gone" else 0
+    if status != "gone":
+        if outcome == "success":
+            status = "active"
+        elif gones >= 2 or empties >= EMPTY_DELIST:
+            status = "gone"
+        elif gones == 1:
+            status = "gone_pending"
+        elif failures >= FAILURES_QUARANTINE:
+            status = "quarantined"
+        elif empties >= EMPTY_SUSPECT:
+            status = "suspect"
+    return status, failures, empties, gones
+
+
+def _states(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+    keys, status, failures, empties = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(status, pa.string()), pa.array(failures, pa.int32()), pa.array(empties, pa.int32())], ["k", "status", "failures", "empties"])
 
 
 def circuit(events: DataFrame, key: str, order: Column, failed: Column, threshold: int = 3, open_for: int = 4) -> DataFrame:

@@ -39,7 +39,14 @@ def _sql(low: str, high: str, cases: list) -> str:
 
 
 _s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-_LOW, _HIGH = F.col("o_orderkey") % 5000 * 40 + 100, F.col("o_orderkey") % 5000 * 40 + 7100
+
+
+def _of_key(times: int, width: int, plus: int, square: bool = False) -> Column:
+    """A number that follows from the key of a posting."""
+    n = F.col("o_orderkey") % width
+    return (n * n if square else n) * times + plus
+
+
 _LOW_SQL, _HIGH_SQL = "o_orderkey % 5000 * 40 + 100", "o_orderkey % 5000 * 40 + 7100"
 
 
@@ -52,7 +59,7 @@ def fn_11_located_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda a, b: _s("USA, WA, Redmond - ", _grouped(a), " - ", _grouped(b), " USD"),
         lambda a, b: _s("Redmond - ", a, " - ", b, " USD annually"),
     ]
-    return _rows(P.with_united(_texts(spark, sf_dir, _LOW, _HIGH, shapes), "text", "offers", P.LOCATED))
+    return _rows(P.with_united(_texts(spark, sf_dir, _of_key(40, 5000, 100), _of_key(40, 5000, 7100), shapes), "text", "offers", P.LOCATED))
 
 
 @query(_sql(_LOW_SQL, _HIGH_SQL, [
@@ -67,7 +74,7 @@ def fn_12_dollar_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda a, b: _s("Annual revenue of $", _grouped(a), " - $", _grouped(b)),
         lambda a, b: _s("Tickets cost $", _grouped(a), " - $", _grouped(b)),
     ]
-    return _rows(P.with_united(_texts(spark, sf_dir, _LOW, _HIGH, shapes), "text", "offers", P.DOLLAR_RANGE))
+    return _rows(P.with_united(_texts(spark, sf_dir, _of_key(40, 5000, 100), _of_key(40, 5000, 7100), shapes), "text", "offers", P.DOLLAR_RANGE))
 
 
 @query(_sql(_LOW_SQL, _HIGH_SQL, [
@@ -81,7 +88,7 @@ def fn_13_bare_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda a, b: _s("Offer: ", a, "-", b, " USD per hour"),
         lambda a, b: _s("Rooms ", a, " - ", b, " are free"),
     ]
-    return _rows(P.with_united(_texts(spark, sf_dir, _LOW, _HIGH, shapes), "text", "offers", P.BARE))
+    return _rows(P.with_united(_texts(spark, sf_dir, _of_key(40, 5000, 100), _of_key(40, 5000, 7100), shapes), "text", "offers", P.BARE))
 
 
 @query(_sql("o_orderkey % 800", "o_orderkey % 800 * 100", [
@@ -119,7 +126,7 @@ def _stepped(shape: str, currency: str, steps: str, bounds: dict[str, tuple[int,
 
 _EURO = "CASE WHEN a < 1000 THEN 'hour' WHEN a < 10000 THEN 'month' ELSE 'year' END"
 _EURO_ONE = "CASE WHEN a < 800 THEN 'none' WHEN a < 10000 THEN 'month' ELSE 'year' END"
-_WIDE, _WIDE_SQL = F.col("o_orderkey") % 350 * (F.col("o_orderkey") % 350) * 3 + 5, "o_orderkey % 350 * (o_orderkey % 350) * 3 + 5"
+_WIDE_SQL = "o_orderkey % 350 * (o_orderkey % 350) * 3 + 5"
 
 
 @query(_sql(_WIDE_SQL, f"{_WIDE_SQL} + 90", [
@@ -136,7 +143,7 @@ def fn_16_eur(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda a, b: _s("Gehalt ", _grouped(a, "."), " € netto"),
         lambda a, b: _s("Eintritt ", _grouped(a, "."), " - ", _grouped(b, "."), " €"),
     ]
-    return _rows(P.with_united(_texts(spark, sf_dir, _WIDE, _WIDE + 90, shapes), "text", "offers", P.EUR_RANGE, P.EUR_SINGLE))
+    return _rows(P.with_united(_texts(spark, sf_dir, _of_key(3, 350, 5, True), _of_key(3, 350, 95, True), shapes), "text", "offers", P.EUR_RANGE, P.EUR_SINGLE))
 
 
 @query(_sql(_WIDE_SQL, f"{_WIDE_SQL} + 90", [
@@ -152,7 +159,7 @@ def fn_17_gbp(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda a, b: _s("The project has a salary budget of £", _grouped(a), " - £", _grouped(b)),
         lambda a, b: _s("Tickets £", _grouped(a), " - £", _grouped(b)),
     ]
-    return _rows(P.with_united(_texts(spark, sf_dir, _WIDE, _WIDE + 90, shapes), "text", "offers", P.GBP_RANGE, P.GBP_SINGLE))
+    return _rows(P.with_united(_texts(spark, sf_dir, _of_key(3, 350, 5, True), _of_key(3, 350, 95, True), shapes), "text", "offers", P.GBP_RANGE, P.GBP_SINGLE))
 
 
 _FRANCS = "CASE WHEN a < 500 THEN 'hour' WHEN a < 15000 THEN 'month' ELSE 'year' END"
@@ -169,7 +176,7 @@ def fn_18_chf(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda a, b: _s("CHF ", _grouped(a, "'"), ".- bis CHF ", _grouped(b, "'"), ".- monthly"),
         lambda a, b: _s("Ticket CHF ", _grouped(a, "'")),
     ]
-    return _rows(P.with_united(_texts(spark, sf_dir, _WIDE, _WIDE + 90, shapes), "text", "offers", P.CHF_RANGE, P.CHF_SINGLE))
+    return _rows(P.with_united(_texts(spark, sf_dir, _of_key(3, 350, 5, True), _of_key(3, 350, 95, True), shapes), "text", "offers", P.CHF_RANGE, P.CHF_SINGLE))
 
 
 _SAID = {"PLN": ("wynagrodzenie ", " zł"), "CZK": ("mzda ", " Kč"), "SEK": ("lön ", " kronor"), "DKK": ("løn ", " DKK"), "HUF": ("fizetés ", " Ft"), "RON": ("salariu ", " lei"), "BGN": ("заплата ", " лв")}
@@ -183,7 +190,7 @@ def _tabled_cases() -> list:
     return [*out, ("id % 9 = 7", "a", "a", "PLN", "month", 0, "a BETWEEN 2000 AND 150000 * 1.2")]
 
 
-_HUGE, _HUGE_SQL = F.col("o_orderkey") % 400 * (F.col("o_orderkey") % 400) * 40 + 900, "o_orderkey % 400 * (o_orderkey % 400) * 40 + 900"
+_HUGE_SQL = "o_orderkey % 400 * (o_orderkey % 400) * 40 + 900"
 
 
 @query(_sql(_HUGE_SQL, f"{_HUGE_SQL} + 90", _tabled_cases()))
@@ -191,7 +198,7 @@ def fn_19_tabled_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-19: seven currencies by one table of signs and plausible amounts."""
     shapes = [lambda a, b, w=w, s=s: _s(w, _grouped(a, " "), " - ", _grouped(b, " "), s) for w, s in _SAID.values()]
     shapes += [lambda a, b: _s("wynagrodzenie ", _grouped(a, " "), " PLN miesięcznie"), lambda a, b: _s("bilet ", _grouped(a, " "), " - ", _grouped(b, " "), " zł")]
-    return _rows(P.with_united(_texts(spark, sf_dir, _HUGE, _HUGE + 90, shapes), "text", "offers", P.TABLED_RANGE, P.TABLED_SINGLE))
+    return _rows(P.with_united(_texts(spark, sf_dir, _of_key(40, 400, 900, True), _of_key(40, 400, 990, True), shapes), "text", "offers", P.TABLED_RANGE, P.TABLED_SINGLE))
 
 
 @query(_sql(_WIDE_SQL, f"{_WIDE_SQL} + 5000", [
@@ -207,12 +214,12 @@ def fn_10_salary(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda a, b: F.lit("pay of £15.50 per hour or $25 per hour"),
         lambda a, b: F.lit("no pay is named"),
     ]
-    return _rows(P.with_pay(_texts(spark, sf_dir, _WIDE, _WIDE + 5000, shapes), "text"))
+    return _rows(P.with_pay(_texts(spark, sf_dir, _of_key(3, 350, 5, True), _of_key(3, 350, 5005, True), shapes), "text"))
 
 
 @query(_sql(_WIDE_SQL, "0", [("id % 2 = 0", "60000", "75000", "USD", "year"), ("id % 2 = 1", "20 * 100", "20 * 100", "GBP", "hour")]).replace("(0)::INTEGER AS at, ", ""))
 def fn_22_salary_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-22, AGG-33: one offer of a text: the currency and period named most often, from its least to its greatest amount."""
     shapes = [lambda a, b: F.lit("salary of $60,000 - $70,000 or salary of $65,000 - $75,000, Gehalt €50.000 - €55.000"), lambda a, b: _s("pay of £20 per hour; room ", a)]
-    offers = P.with_pay(_texts(spark, sf_dir, _WIDE, F.lit(0), shapes), "text").select("id", P.usual("offers").alias("o"))
+    offers = P.with_pay(_texts(spark, sf_dir, _of_key(3, 350, 5, True), F.lit(0), shapes), "text").select("id", P.usual("offers").alias("o"))
     return offers.where("o IS NOT NULL").select("id", "o.least", "o.most", "o.currency", "o.period")
