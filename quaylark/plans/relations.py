@@ -318,13 +318,13 @@ def agg_09_ordered_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS rounds FROM events WHERE event_id % 5 = 0 GROUP BY 1), r AS (SELECT unnest(generate_series(1, 12)) AS round)
+WITH n AS (SELECT user_id, count(*) AS rounds FROM events WHERE event_type = 'purchase' GROUP BY 1), r AS (SELECT unnest(generate_series(1, (SELECT max(rounds) FROM n))) AS round)
 SELECT round::INTEGER AS round, count(*) FILTER (rounds >= round) AS reached, count(*) FILTER (rounds = round) AS ended FROM n, r GROUP BY 1""")
 def agg_25_funnel_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-25: how many reached a round and how many ended there, without a join: each row makes its own rounds, twelve at least."""
-    n = table(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("rounds"))
-    flags = n.select(F.explode(F.sequence(F.lit(1), F.greatest(F.lit(12), F.col("rounds").cast("int")))).alias("round"), "rounds")
-    return flags.groupBy("round").agg(F.count_if(F.col("rounds") >= F.col("round")).alias("reached"), F.count_if(F.col("rounds") == F.col("round")).alias("ended"))
+    """AGG-25: how many reached a round and how many ended there, over all events and rounds: each user makes its own rounds, without a join."""
+    n = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").cast("int").alias("rounds"))
+    flags = n.select(F.explode(F.sequence(F.lit(1), "rounds")).alias("round"), "rounds")
+    return flags.groupBy("round").agg(F.count("*").alias("reached"), F.count_if(F.col("rounds") == F.col("round")).alias("ended"))
 
 
 @query("SELECT strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
