@@ -187,3 +187,21 @@ def txt_16_title_and_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-16, TXT-18: a word in the title weighs twice one in the description."""
     part = lambda tag: F.contains(F.lower(F.regexp_extract("html", rf"(?is)<{tag}>(.*?)</{tag}>", 1)), F.lit("the")).cast("int")
     return table(spark, sf_dir, "pages").select("page_id", (part("title") * 2 + part("article")).alias("score"))
+
+
+_TERMS = [("senior", "seniority", "senior"), ("entry level", "seniority", "junior"), ("level", "seniority", "level"), ("c++", "technology", "c++"), ("apache spark", "technology", "spark"), ("spark", "technology", "spark"), ("new york", "place", "new-york"), ("data scientist", "occupation", "data-scientist"), ("scientist", "occupation", "scientist"), ("work from home", "mode", "remote")]
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'seniority=senior;technology=c++' WHEN 1 THEN 'mode=remote;occupation=data-scientist' WHEN 2 THEN 'place=new-york;seniority=junior;technology=spark' ELSE '' END AS filters,
+ CASE p_partkey % 4 WHEN 0 THEN 'jobs ' || p_name WHEN 3 THEN p_name || ' work home' ELSE p_name END AS keywords FROM part""")
+def txt_12_parse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-12: free-text queries to filters and keywords, by one join of their word runs with a dictionary."""
+    i, name = F.col("p_partkey") % 4, F.col("p_name")
+    text = (
+        F.when(i == 0, F.concat(F.lit("Senior C++ jobs "), name)).when(i == 1, F.concat(F.lit("work from home, Data Scientist "), name))
+        .when(i == 2, F.concat(F.lit("Entry-Level Apache Spark / New York "), name)).otherwise(F.concat(name, F.lit(" work home")))
+    )
+    terms = spark.createDataFrame(_TERMS, "term string, kind string, value string")
+    got = textsearch.parsed(table(spark, sf_dir, "part").select("p_partkey", text.alias("q")), "p_partkey", "q", terms)
+    shown = F.array_join(F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    return got.select("p_partkey", shown.alias("filters"), F.array_join("keywords", " ").alias("keywords"))
