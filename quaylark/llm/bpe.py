@@ -184,6 +184,7 @@ class Codec:
         self.byte_sizes = np.fromiter(map(len, raw), np.int64, size)
         self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
         self.flat_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.chunks_kept, self.chars_kept = CHUNKS_KEPT, CHARS_KEPT
         self.forget()
 
     def forget(self) -> None:
@@ -261,7 +262,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
-        if len(self.seen) >= CHUNKS_KEPT or self.chars >= CHARS_KEPT:
+        if len(self.seen) >= self.chunks_kept or self.chars >= self.chars_kept:
             self.forget()
         cuts = [self.cut(t) for t in texts]
         at = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(cuts)), np.int64)
@@ -295,9 +296,10 @@ def codec(path: str) -> Codec:
 
 
 @contextmanager
-def task_codec(path: str) -> Iterator[Codec]:
-    """The vocabulary at ``path`` for one task, without chunks of other tasks before or after it."""
+def task_codec(path: str, times: int = 1) -> Iterator[Codec]:
+    """The vocabulary at ``path`` for one task, without chunks of other tasks before or after it; ``times`` the usual store."""
     own = codec(path)
+    own.chunks_kept, own.chars_kept = times * CHUNKS_KEPT, times * CHARS_KEPT
     own.forget()
     try:
         yield own

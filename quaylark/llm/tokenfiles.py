@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, parts: in
         name = f"part-{number:05d}-{uuid.uuid4().hex}"
         n_docs, n_null, at = 0, 0, 0
         out = {}
-        with task_codec(path) as own:
+        with task_codec(path, times=2) as own:
             wide = len(own.token_bytes) > 1 << 16
             for b in by_size(batches, most=4_000_000):
                 if not out:
