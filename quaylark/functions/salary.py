@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .scalars import decimal_number, lookup
 from .spans import FLAGS, around, earliest, held, matches
 
-PAY = "array<struct<start:int,end:int,least:bigint,most:bigint,currency:string,period:string>>"
+PAY = "array<struct<start:int,end:int,least:bigint,most:bigint,currency:string,period:string,plausible:boolean>>"
 
 _AMOUNT = r"\d{1,3}(?:[.,'’  ]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d{1,2})?(?![\d])"
 _DASH = r"\s?(?:-|–|—|\bto\b|\bbis\b|\bdo\b|\bà\b)\s?"
@@ -89,7 +89,7 @@ def _stepped(steps: tuple[tuple[float, str | None], ...], least: Column) -> Colu
 
 
 def found(text: Column, rule: Rule) -> Column:
-    """All pay that one rule reads from a text; each step is a transform, so that no step repeats the one before."""
+    """All pay that has the shape of one rule, and whether it is plausible; each step is a transform, so that no step repeats the one before."""
     double = "high" in rule.groups
 
     def read(m: Column) -> Column:
@@ -131,12 +131,12 @@ def found(text: Column, rule: Rule) -> Column:
 
     def whole(r: Column) -> Column:
         times = F.when(r["period"] == "hour", 100).otherwise(1)
-        return F.struct(r["start"], r["end"], (r["low"] * times).cast("bigint").alias("least"), (r["high"] * times).cast("bigint").alias("most"), r["currency"], r["period"])
+        return F.struct(r["start"], r["end"], (r["low"] * times).cast("bigint").alias("least"), (r["high"] * times).cast("bigint").alias("most"), r["currency"], r["period"], plausible(r).alias("plausible"))
 
     out = matches(text, rule.pattern)
     for step in (read, *((in_thousands,) if double else ()), timed):
         out = F.transform(out, step)
-    return F.transform(F.filter(out, plausible), whole).cast(PAY)
+    return F.transform(out, whole).cast(PAY)
 
 
 def _rule(pattern: str, *args, **more) -> Rule:
@@ -213,12 +213,12 @@ def _all(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def _plain(offers: Column) -> Column:
-    """Offers in the order of the text, equal ones once."""
-    return F.array_distinct(F.transform(F.array_sort(offers), lambda r: F.struct(r["least"], r["most"], r["currency"], r["period"])))
+    """Plausible offers in the order of the text, equal ones once."""
+    return F.array_distinct(F.transform(F.array_sort(F.filter(offers, lambda r: r["plausible"])), lambda r: F.struct(r["least"], r["most"], r["currency"], r["period"])))
 
 
 def with_united(df: DataFrame, text: str, out: str, ranges: tuple[Rule, ...], singles: tuple[Rule, ...] = ()) -> DataFrame:
-    """``df`` with the ranges, and the single amounts outside all of these, in the order of the text.
+    """``df`` with the plausible ranges, and the single amounts outside of whatever has the shape of a range, in the order of the text.
 
     Each step is held as a column of its own, so that no pattern is searched twice.
     """

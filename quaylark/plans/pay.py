@@ -202,7 +202,7 @@ def fn_19_tabled_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql(_WIDE_SQL, f"{_WIDE_SQL} + 5000", [
-    ("id % 5 = 0", "a", "b", "USD", "year"), ("id % 5 = 1", "a", "b", "EUR", "year", 0, "a >= 10000 AND b <= 500000"), ("id % 5 = 1", "b", "b", "EUR", "year", 0, "a < 10000 AND b >= 10000"), ("id % 5 = 1", "50000", "60000", "USD", "year", "CASE WHEN b >= 10000 THEN 1 ELSE 0 END"),
+    ("id % 5 = 0", "a", "b", "USD", "year"), ("id % 5 = 1", "a", "b", "EUR", "year", 0, "a >= 10000 AND b <= 500000"), ("id % 5 = 1", "50000", "60000", "USD", "year", "CASE WHEN a >= 10000 THEN 1 ELSE 0 END"),
     ("id % 5 = 2", "a", "b", "GBP", "year", 0, "a >= 10000"), ("id % 5 = 2", "50000", "60000", "USD", "year", 0, "a < 10000"), ("id % 5 = 3", "1550", "1550", "GBP", "hour"), ("id % 5 = 3", "2500", "2500", "USD", "hour", 1),
 ]))
 def fn_10_salary(spark: SparkSession, sf_dir: str) -> DataFrame:
