@@ -66,6 +66,8 @@ class Rule:
     over: float = 1.0
     #: Whether the currency, its steps and its bounds come from ``TABLED``.
     tabled: bool = False
+    #: Lower-case literals of which a text must hold one: a plain search that spares most patterns.
+    hints: tuple[str, ...] = ()
     groups: tuple[str, ...] = field(default=())
 
 
@@ -88,7 +90,7 @@ def _stepped(steps: tuple[tuple[float, str | None], ...], least: Column) -> Colu
     return out
 
 
-def found(text: Column, rule: Rule) -> Column:
+def found(text: Column, low: Column, rule: Rule) -> Column:
     """All pay that has the shape of one rule, and whether it is plausible; each step is a transform, so that no step repeats the one before."""
     double = "high" in rule.groups
 
@@ -136,7 +138,8 @@ def found(text: Column, rule: Rule) -> Column:
     out = matches(text, rule.pattern)
     for step in (read, *((in_thousands,) if double else ()), timed):
         out = F.transform(out, step)
-    return F.transform(out, whole).cast(PAY)
+    hinted = reduce(Column.__or__, [F.contains(low, F.lit(h)) for h in rule.hints])
+    return F.when(hinted, F.transform(out, whole).cast(PAY)).otherwise(F.array().cast(PAY))
 
 
 def _rule(pattern: str, *args, **more) -> Rule:
@@ -150,15 +153,15 @@ _GBP = {"hour": (5, 200), "year": (10_000, 500_000)}
 _CHF = {"hour": (15, 300), "month": (1200, 30_000), "year": (30_000, 500_000)}
 _INF = float("inf")
 
-LOCATED = (_rule(r"\b[A-Z]{2,3}, [A-Z]{2}, [^\n\d–-]{1,60} [–-] " + _RANGE + _low("high") + r" (?P<code>[A-Z]{3}) (?P<period>annually|hourly)", None, {"year": (0, _INF), "hour": (0, _INF)}, marks="group"),)
+LOCATED = (_rule(r"\b[A-Z]{2,3}, [A-Z]{2}, [^\n\d–-]{1,60} [–-] " + _RANGE + _low("high") + r" (?P<code>[A-Z]{3}) (?P<period>annually|hourly)", None, {"year": (0, _INF), "hour": (0, _INF)}, marks="group", hints=("annually", "hourly")),)
 BARE = (
-    _rule(r"(?<![\w$€£.,])" + _RANGE + _low("high") + r"\s(?P<code>AUD|NZD|SGD|HKD|BRL|MXN|CAD|USD|EUR|GBP|CHF)\b(?P<period>(?: (?:per|an?) \w+|/\w+| annually| hourly)?)", None, {"year": (10_000, 1_000_000), "hour": (0, 1_000_000)}, marks="group", steps=((_INF, "year"),)),
-    _rule(r"(?<![\w$€£.,])" + _RANGE + _low("high") + r"\s?(?P<period>\((?:yr|year)\))", "USD", {"year": (10_000, 1_000_000)}, marks="group", steps=((_INF, "year"),)),
+    _rule(r"(?<![\w$€£.,])" + _RANGE + _low("high") + r"\s(?P<code>AUD|NZD|SGD|HKD|BRL|MXN|CAD|USD|EUR|GBP|CHF)\b(?P<period>(?: (?:per|an?) \w+|/\w+| annually| hourly)?)", None, {"year": (10_000, 1_000_000), "hour": (0, 1_000_000)}, marks="group", steps=((_INF, "year"),), hints=("aud", "nzd", "sgd", "hkd", "brl", "mxn", "cad", "usd", "eur", "gbp", "chf")),
+    _rule(r"(?<![\w$€£.,])" + _RANGE + _low("high") + r"\s?(?P<period>\((?:yr|year)\))", "USD", {"year": (10_000, 1_000_000)}, marks="group", steps=((_INF, "year"),), hints=("(yr)", "(year)")),
 )
-DOLLAR_RANGE = (_rule(r"(?<![\w$])(?P<pre>AU|A|NZ|HK|S|R|MX|US|U|CDN|CA|C)?\$\s?" + _RANGE + r"(?:[A-Z]{0,3}\$)?\s?" + _low("high") + rf"(?:\s?[(\[]?(?P<code>{'|'.join(CODES)})\b[)\]]?)?", "USD", {"year": (15_000, 1_000_000)}, 100, 80, SALARY_WORDS, (REVENUE_WORDS,), "after", ((_INF, "year"),)),)
-DOLLAR_SINGLE = (_rule(r"(?<![\w$])(?P<pre>AU|A|NZ|HK|S|R|MX|US|U|CDN|CA|C)?\$\s?" + _low() + rf"(?:\s?(?P<code>{'|'.join(CODES)})\b)?(?P<period>\s?(?:per|an?|/)\s?(?:hour|hr|month|mo|year|yr|annum))\b", "USD", _DOLLAR, marks="group"),)
-PREFIXED = (_rule(r"(?<![\w$])(?<![-–]\s)(?<![-–])(?P<pre>AU|A|NZ|HK|S|R|MX|CDN|CA|C)\$\s?" + _low() + r"(?!" + _DASH + r"(?:[A-Z]{0,3}\$)?\s?\d)", None, _DOLLAR | {"hour": (5, 500)}, 100, 80, SALARY_WORDS, (REVENUE_WORDS,), "after", ((5, None), (500, "hour"), (15_000, "month"), (_INF, "year"))),)
-_EURO_WORDS = {"before": 200, "after": 100, "need": SALARY_WORDS, "reject": (PERK_WORDS, NET_WORDS)}
+DOLLAR_RANGE = (_rule(r"(?<![\w$])(?P<pre>AU|A|NZ|HK|S|R|MX|US|U|CDN|CA|C)?\$\s?" + _RANGE + r"(?:[A-Z]{0,3}\$)?\s?" + _low("high") + rf"(?:\s?[(\[]?(?P<code>{'|'.join(CODES)})\b[)\]]?)?", "USD", {"year": (15_000, 1_000_000)}, 100, 80, SALARY_WORDS, (REVENUE_WORDS,), "after", ((_INF, "year"),), hints=("$",)),)
+DOLLAR_SINGLE = (_rule(r"(?<![\w$])(?P<pre>AU|A|NZ|HK|S|R|MX|US|U|CDN|CA|C)?\$\s?" + _low() + rf"(?:\s?(?P<code>{'|'.join(CODES)})\b)?(?P<period>\s?(?:per|an?|/)\s?(?:hour|hr|month|mo|year|yr|annum))\b", "USD", _DOLLAR, marks="group", hints=("$",)),)
+PREFIXED = (_rule(r"(?<![\w$])(?<![-–]\s)(?<![-–])(?P<pre>AU|A|NZ|HK|S|R|MX|CDN|CA|C)\$\s?" + _low() + r"(?!" + _DASH + r"(?:[A-Z]{0,3}\$)?\s?\d)", None, _DOLLAR | {"hour": (5, 500)}, 100, 80, SALARY_WORDS, (REVENUE_WORDS,), "after", ((5, None), (500, "hour"), (15_000, "month"), (_INF, "year")), hints=("$",)),)
+_EURO_WORDS = {"before": 200, "after": 100, "need": SALARY_WORDS, "reject": (PERK_WORDS, NET_WORDS), "hints": ("€", "eur")}
 _EURO_STEPS = ((1000, "hour"), (10_000, "month"), (_INF, "year"))
 _EURO_SINGLE_STEPS = ((800, None), (10_000, "month"), (_INF, "year"))
 EUR_RANGE = (
@@ -171,12 +174,12 @@ EUR_SINGLE = (
     _rule(r"(?<![\w€.,])" + _low() + r"\s?(?:€|eur\b|euro\b)", "EUR", _EUR, steps=_EURO_SINGLE_STEPS, **_EURO_WORDS),
     _rule(r"\beur\s" + _low(), "EUR", _EUR, steps=_EURO_SINGLE_STEPS, **_EURO_WORDS),
 )
-GBP_RANGE = (_rule(r"£\s?" + _RANGE + r"£?\s?" + _low("high"), "GBP", _GBP, 100, 60, SALARY_WORDS, (PROJECT_WORDS,), steps=((7, None), (201, "hour"), (_INF, "year"))),)
+GBP_RANGE = (_rule(r"£\s?" + _RANGE + r"£?\s?" + _low("high"), "GBP", _GBP, 100, 60, SALARY_WORDS, (PROJECT_WORDS,), steps=((7, None), (201, "hour"), (_INF, "year")), hints=("£",)),)
 GBP_SINGLE = (
-    _rule(r"£\s?" + _low() + r"(?P<period>\s?(?:per|an?|/)\s?(?:hour|hr|year|yr|annum))\b", "GBP", _GBP, marks="group"),
-    _rule(r"(?P<period>hourly|annual) (?:rate|salary|pay):?\s£\s?" + _low(), "GBP", _GBP, marks="group"),
+    _rule(r"£\s?" + _low() + r"(?P<period>\s?(?:per|an?|/)\s?(?:hour|hr|year|yr|annum))\b", "GBP", _GBP, marks="group", hints=("£",)),
+    _rule(r"(?P<period>hourly|annual) (?:rate|salary|pay):?\s£\s?" + _low(), "GBP", _GBP, marks="group", hints=("£",)),
 )
-_SWISS = {"before": 150, "after": 100, "need": SALARY_WORDS, "steps": ((500, "hour"), (15_000, "month"), (_INF, "year")), "both_ends": False}
+_SWISS = {"before": 150, "after": 100, "need": SALARY_WORDS, "steps": ((500, "hour"), (15_000, "month"), (_INF, "year")), "both_ends": False, "hints": ("chf",)}
 CHF_RANGE = (_rule(r"\bCHF\s?" + _low() + r"(?:\.[–-])?" + _DASH + r"(?:CHF\s?)?" + _low("high") + r"(?:\.[–-])?", "CHF", _CHF, **_SWISS),)
 CHF_SINGLE = (_rule(r"\bCHF\s?" + _low() + r"(?:\.[–-])?", "CHF", _CHF, **_SWISS),)
 
@@ -195,7 +198,7 @@ TABLED = {
 _SIGNS = "|".join(row[0] for row in TABLED.values())
 #: Signs that stand before amounts too.
 _BEFORE = "|".join(code.lower() + r"\b" for code in TABLED)
-_TABLE_WORDS = {"before": 200, "after": 200, "need": SALARY_WORDS, "reject": (PERK_WORDS, REVENUE_WORDS, NET_WORDS), "over": 1.2, "tabled": True}
+_TABLE_WORDS = {"before": 200, "after": 200, "need": SALARY_WORDS, "reject": (PERK_WORDS, REVENUE_WORDS, NET_WORDS), "over": 1.2, "tabled": True, "hints": ("zł", "kč", "лв", "ft", "lei", "kronor", *(c.lower() for c in TABLED))}
 TABLED_RANGE = (
     _rule(r"(?<![\w.,])" + _RANGE + _low("high") + rf"\s?(?P<code>{_SIGNS})", None, {}, **_TABLE_WORDS),
     _rule(rf"\b(?P<code>{_BEFORE})\s?" + _RANGE + _low("high"), None, {}, **_TABLE_WORDS),
@@ -208,8 +211,8 @@ RANGES = (*DOLLAR_RANGE, *EUR_RANGE, *GBP_RANGE, *CHF_RANGE, *TABLED_RANGE)
 SINGLES = (*DOLLAR_SINGLE, *PREFIXED, *EUR_SINGLE, *GBP_SINGLE, *CHF_SINGLE, *TABLED_SINGLE)
 
 
-def _all(text: Column, rules: tuple[Rule, ...]) -> Column:
-    return F.concat(*[found(text, r) for r in rules])
+def _all(text: Column, low: Column, rules: tuple[Rule, ...]) -> Column:
+    return F.concat(*[found(text, low, r) for r in rules]) if rules else F.array().cast(PAY)
 
 
 def _plain(offers: Column) -> Column:
@@ -222,11 +225,11 @@ def with_united(df: DataFrame, text: str, out: str, ranges: tuple[Rule, ...], si
 
     Each step is held as a column of its own, so that no pattern is searched twice.
     """
-    none = F.array().cast(PAY)
-    r, s = f"{out}_ranges", f"{out}_singles"
-    df = held(df, {r: _all(F.col(text), ranges) if ranges else none, s: _all(F.col(text), singles) if singles else none})
+    r, s, low = f"{out}_ranges", f"{out}_singles", f"{out}_low"
+    df = held(df, {low: F.lower(text)})
+    df = held(df, {r: _all(F.col(text), F.col(low), ranges), s: _all(F.col(text), F.col(low), singles)})
     lone = F.filter(s, lambda x: ~F.exists(r, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return held(df, {out: _plain(F.concat(r, lone))}).drop(r, s)
+    return held(df, {out: _plain(F.concat(r, lone))}).drop(r, s, low)
 
 
 def with_pay(df: DataFrame, text: str, out: str = "offers") -> DataFrame:

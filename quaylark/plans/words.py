@@ -321,6 +321,15 @@ def fn_51_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", S.fingerprint(fields, ("words",)).alias("fingerprint"))
 
 
+@query("""SELECT doc_id, sha256(text) AS full_hash, sha256(concat_ws(chr(31), coalesce(source, ''), coalesce(lang, ''), text)) AS joined, left(sha256(doc_id::VARCHAR), 2) AS bucket FROM documents""")
+def fn_49_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-49, FN-52, FN-53: content hash, joined hash and bucket of each document in one pass."""
+    h = S.content_hash(F.col("text"))
+    same = F.lpad(F.lower(F.hex(h)), 16, "0") == F.substring(F.sha2("text", 256), 1, 16)
+    full = F.when(same, F.sha2("text", 256)).otherwise(F.raise_error(F.lit("content hash differs")).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", full.alias("full_hash"), S.joined_hash(F.col("source"), F.col("lang"), F.col("text")).alias("joined"), S.bucket256(F.sha2(F.col("doc_id").cast("string"), 256)).alias("bucket"))
+
+
 @query("SELECT doc_id, sha256(concat_ws(chr(31), coalesce(source, ''), coalesce(lang, ''), coalesce(text, ''))) AS joined FROM documents")
 def fn_52_joined_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-52: a hash of several parts that cannot run into each other; null counts as empty."""
