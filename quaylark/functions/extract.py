@@ -1,8 +1,4 @@
-"""Structured attributes from text: salary, experience, occupation, place, language, HTML blocks.
-
-Where a rule needs what stands around a match, an Arrow UDF over whole columns runs the
-rule; a native test first keeps texts without any number away from it.
-"""
+"""Structured attributes from text: occupation, language, HTML blocks. Pay, experience and places have modules of their own."""
 
 from __future__ import annotations
 
@@ -16,112 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- salary ------------------------------------------------------------------------
-
-SALARY = T.StructType([T.StructField("least", T.LongType()), T.StructField("most", T.LongType()), T.StructField("currency", T.StringType()), T.StructField("period", T.StringType())])
-YEARS = T.StructType([T.StructField("least", T.IntegerType()), T.StructField("most", T.IntegerType())])
-BLOCKS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())]))
-_AMOUNT = r"(\d{1,3}(?:[.,'’ ]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)\s?([kK])?"
-_SIGNS = {"€": "EUR", "eur": "EUR", "$": "USD", "usd": "USD", "£": "GBP", "gbp": "GBP", "chf": "CHF", "pln": "PLN", "sek": "SEK", "czk": "CZK"}
-_SIGN = r"(€|\$|£|eur\b|usd\b|gbp\b|chf\b|pln\b|sek\b|czk\b)"
-_RANGE = re.compile(rf"(?:{_SIGN}\s?)?{_AMOUNT}\s?(?:{_SIGN})?\s?(?:-|–|to|bis|and)\s?(?:{_SIGN}\s?)?{_AMOUNT}\s?(?:{_SIGN})?", re.I)
-_SINGLE = re.compile(rf"(?:{_SIGN}\s?{_AMOUNT}|{_AMOUNT}\s?{_SIGN})", re.I)
-_PAY = re.compile(r"salary|salaries|compensation|pay\b|wage|remuneration|gehalt|vergütung|lohn|salaire|per (hour|year|month|annum)|annual|hourly", re.I)
-_NOT_PAY = re.compile(r"revenue|funding|raised|budget|umsatz|turnover|valuation|million|billion|bonus up to", re.I)
-_MARKS = (("hour", re.compile(r"hour|/\s?h\b|stunde|heure", re.I)), ("day", re.compile(r"per day|daily|pro tag", re.I)), ("month", re.compile(r"month|monat|mois", re.I)), ("year", re.compile(r"year|annual|annum|jahr|/\s?yr", re.I)))
-#: Least and greatest plausible amount of each period.
-_BOUNDS = {"hour": (5, 500), "day": (50, 5000), "month": (500, 100_000), "year": (10_000, 1_000_000)}
-
-
-def _number(raw: str, thousand: str | None) -> int:
-    body = re.sub(r"['’ ]", "", raw)
-    body = re.sub(r"[.,](?=\d{3}(\D|$))", "", body).replace(",", ".")
-    return int(float(body) * (1000 if thousand else 1))
-
-
-def _period(text: str, start: int, end: int, amount: int) -> str:
-    near = text[end : end + 40]
-    found = [(m.start(), name) for name, mark in _MARKS if (m := mark.search(near))]
-    if found:
-        return min(found)[1]
-    before = text[max(0, start - 60) : start]
-    for name, mark in _MARKS:
-        if mark.search(before):
-            return name
-    return "hour" if amount < 500 else "month" if amount < 10_000 else "year"
-
-
-def salary_of(text: str | None) -> dict | None:
-    """The first plausible pay range, else amount, with pay words near and no revenue words; hourly in hundredths."""
-    if not text:
-        return None
-    for pattern, pair in ((_RANGE, True), (_SINGLE, False)):
-        for m in pattern.finditer(text):
-            g = m.groups()
-            signs = [_SIGNS[s.lower()] for s in g if s and s.lower() in _SIGNS]
-            around = text[max(0, m.start() - 100) : m.end() + 80]
-            if not signs or not _PAY.search(around) or _NOT_PAY.search(around):
-                continue
-            if pair:
-                low, high = _number(g[1], g[2] or g[6]), _number(g[5], g[6])
-            else:
-                low = high = _number(g[1] or g[3], g[2] or g[4])
-            period = _period(text, m.start(), m.end(), low)
-            least, most = _BOUNDS[period]
-            if not (least <= low <= high <= most):
-                continue
-            times = 100 if period == "hour" else 1
-            return {"least": low * times, "most": high * times, "currency": signs[0], "period": period}
-    return None
-
-
-@F.pandas_udf(SALARY)
-def _salary(text: pd.Series) -> pd.DataFrame:
-    rows = [salary_of(t) or {"least": None, "most": None, "currency": None, "period": None} for t in text]
-    return pd.DataFrame(rows).astype({"least": "Int64", "most": "Int64"})
-
-
-def with_salary(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with salary struct; texts without a sign and a digit never reach Python."""
-    may = F.col(text).rlike(r"(?i)\d") & F.col(text).rlike(r"(?i)€|\$|£|\b(eur|usd|gbp|chf|pln|sek|czk)\b")
-    out = _salary(F.when(may, F.col(text)))
-    return df.withColumn("salary", F.when(out["least"].isNotNull(), out))
-
-
-# --- experience --------------------------------------------------------------------
-
-_YEARS = (
-    re.compile(r"(\d{1,2})\s?(?:-|–|to)\s?(\d{1,2})\s?\+?\s?(?:years|yrs|jahre|ans)", re.I),
-    re.compile(r"(?:at least|minimum|min\.?|over|mindestens|au moins)\s(\d{1,2})()\s?\+?\s?(?:years|yrs|jahre|ans)", re.I),
-    re.compile(r"(?<![\d–-])(?<!to )(\d{1,2})()\s?\+?\s?(?:years|yrs|jahre|ans)\b(?=[^.]{0,40}(?:experience|erfahrung|expérience))", re.I),
-)
-_NOT_OURS = re.compile(r"(founded|for over|history|our company|established|warranty|old)[^.]{0,60}$", re.I)
-
-
-def experience_of(text: str | None) -> dict | None:
-    """The highest minimum of up to 30 years, unless the 60 characters before speak of the company."""
-    best = None
-    for pattern in _YEARS:
-        for m in pattern.finditer(text or ""):
-            low, high = int(m[1]), int(m[2]) if m[2] else None
-            if low > 30 or (high is not None and (high < low or high > 30)) or _NOT_OURS.search(text[max(0, m.start() - 60) : m.start()]):
-                continue
-            if best is None or low > best["least"]:
-                best = {"least": low, "most": high}
-    return best
-
-
-@F.pandas_udf(YEARS)
-def _experience(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([experience_of(t) or {"least": None, "most": None} for t in text]).astype({"least": "Int32", "most": "Int32"})
-
-
-def with_experience(df: DataFrame, text: str) -> DataFrame:
-    out = _experience(F.when(F.col(text).rlike(r"(?i)\d\s?\+?\s?(years|yrs|jahre|ans)"), F.col(text)))
-    return df.withColumn("experience", F.when(out["least"].isNotNull(), out))
-
-
-# --- occupation and place by dictionaries ------------------------------------------
+# --- occupation by a dictionary ------------------------------------------------------
 
 
 def with_occupation(df: DataFrame, key: str, title: str, aliases: DataFrame, least_bag: int = 4) -> DataFrame:
@@ -169,6 +60,7 @@ def _among(words: list[str]):
 
 # --- HTML blocks --------------------------------------------------------------------
 
+BLOCKS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())]))
 _BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "pre", "div", "article", "section"}
 _SKIP = {"script", "style", "noscript", "nav", "header", "footer", "template", "svg"}
 _RENAME = {"h1": "h2", "h5": "h4", "h6": "h4", "div": "p", "article": "p", "section": "p", "td": "p", "th": "p", "pre": "p", "blockquote": "p"}

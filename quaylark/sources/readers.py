@@ -207,19 +207,6 @@ def assert_complete(found: int, advertised: int) -> None:
         raise ValueError(f"found {found} of {advertised}")
 
 
-def facet_buckets(counts: list[tuple[str, int | None]], cap: int) -> list[list[str]]:
-    """Values in their order, filled greedily into groups below the cap; unknown counts stand alone."""
-    out: list[list[str]] = []
-    size = 0
-    for value, n in counts:
-        if n is None or not out or size is None or size + n >= cap:
-            out.append([])
-            size = 0
-        out[-1].append(value)
-        size = None if n is None else size + n
-    return out
-
-
 def best_detector(df: DataFrame, rules: list[tuple[str, int, Column]]) -> DataFrame:
     """The cheapest rule that can handle a row."""
     out = F.lit(None).cast("string")

@@ -32,6 +32,13 @@ PAY = [
     ("SEK 134 billion revenue salary", []),
     ("85 - 95K EUR salary", [(85000, 95000, "EUR", "year")]),
     ("salary $60,000 - $70,000; again $60,000 - $70,000", [(60000, 70000, "USD", "year")]),
+    ("Salary: $90,000 - $120,000 per year", [(90000, 120000, "USD", "year")]),
+    ("Gehalt: 4.500 € monatlich", [(4500, 4500, "EUR", "month")]),
+    ("pay £25 per hour", [(2500, 2500, "GBP", "hour")]),
+    ("annual salary 85K - 95K EUR", [(85000, 95000, "EUR", "year")]),
+    ("We raised $50,000,000 of funding", []),
+    ("Tickets cost $15", []),
+    ("salary 5 - 3 EUR per hour", []),
     ("no numbers", []),
     ("", []),
     (None, []),
@@ -51,7 +58,7 @@ def test_usual_offer(spark):
 
 
 YEARS = [
-    ("5+ years of experience", (5, None)), ("at least 3 years", (3, None)), ("2-4 years", (2, 4)), ("mindestens 7 Jahre", (7, None)), ("for over 40 years", None),
+    ("5+ years of experience", (5, None)), ("at least 2 years; 6 years of experience", (6, None)), ("founded 20 years ago with 20 years experience", None), ("at least 3 years", (3, None)), ("2-4 years", (2, 4)), ("mindestens 7 Jahre", (7, None)), ("for over 40 years", None),
     ("founded 20 years ago, we ask 6 years of experience", None), ("at least 2 years; later, after a while and by other means than those named so far, 6 years of experience", (6, None)), ("4 to 2 years", None), ("3 - 5 years and 3 years experience", (3, 5)), ("", None), (None, None),
 ]
 
