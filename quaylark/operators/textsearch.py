@@ -36,6 +36,11 @@ def matched(index: DataFrame, key: str, words: Sequence[str], typos: bool = True
     return best.groupBy(key).agg(F.count("*").alias("matched"), F.sum("edits").alias("edits"), F.sum("exact").alias("exact"))
 
 
+def most_words(hits: DataFrame) -> DataFrame:
+    """Hits of ``matched`` with as many words as any hit has: words that nothing matches beside the others are dropped."""
+    return hits.join(F.broadcast(hits.agg(F.max("matched").alias("matched"))), "matched")  # one row
+
+
 def suggest(names: DataFrame, key: str, name: str, typed: str, weight: str, k: int) -> DataFrame:
     """Typeahead: a token starts with what was typed; heavier names first."""
     low = typed.lower()

@@ -41,11 +41,11 @@ def flt_03_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _content(spark, sf_dir).where(filters.visible()).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['steel', 'bolt'])")
+@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['plate', 'bolt'])")
 def flt_04_any_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-04: any of several ids in an array column."""
     words = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
-    return words.where(filters.any_of("words", ["steel", "bolt"])).select("p_partkey")
+    return words.where(filters.any_of("words", ["plate", "bolt"])).select("p_partkey")
 
 
 @query(f"SELECT seniority, count(*) AS n FROM {POSTINGS} WHERE seniority IN ('1-URGENT', '5-LOW') GROUP BY 1")
@@ -69,10 +69,10 @@ def flt_07_salary_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(spark, sf_dir).agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
-@query(f"SELECT list_id FROM {_LISTS} WHERE json_array_length(filters, '$.company_ids') < 2 AND coalesce(filters ->> '$.keyword', '') = ''")
+@query(f"SELECT list_id FROM {_LISTS} WHERE json_array_length(filters, '$.company_ids') < 12 AND coalesce(filters ->> '$.keyword', '') = ''")
 def flt_19_trivial_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-19: lists that say almost nothing: fewer than two companies and no keyword."""
-    few = F.json_array_length(F.get_json_object("filters", "$.company_ids")) < 2
+    """FLT-19: lists that say little: fewer than twelve companies and no keyword."""
+    few = F.json_array_length(F.get_json_object("filters", "$.company_ids")) < 12
     return _lists(spark, sf_dir).where(few & (F.coalesce(F.get_json_object("filters", "$.keyword"), F.lit("")) == "")).select("list_id")
 
 
@@ -198,11 +198,11 @@ def joi_25_live_or_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH said AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS label FROM part), t AS (SELECT * FROM (VALUES ('steel', 1), ('bolt', 2), ('red', 3), ('widget', 4)) x(label, id))
+WITH said AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS label FROM part), t AS (SELECT * FROM (VALUES ('plate', 1), ('bolt', 2), ('red', 3), ('widget', 4)) x(label, id))
 SELECT said.label, t.id, count(*) AS n, t.id IS NULL AS missed FROM said LEFT JOIN t USING (label) GROUP BY 1, 2""")
 def joi_26_labels_to_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-26: labels to taxonomy ids; those without one are collected with their counts."""
-    ids = spark.createDataFrame([("steel", 1), ("bolt", 2), ("red", 3), ("widget", 4)], "label string, id int")
+    ids = spark.createDataFrame([("plate", 1), ("bolt", 2), ("red", 3), ("widget", 4)], "label string, id int")
     said = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
     return said.join(ids, "label", "left").select("label", "id", "n", F.col("id").isNull().alias("missed"))
 
@@ -313,11 +313,12 @@ def agg_41_unnested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT p_type AS leaf, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 5) GROUP BY 1")
+@query(f"SELECT p_type AS leaf, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > (SELECT count(*) / 25 FROM part)) GROUP BY 1")
 def agg_42_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-42: counts of leaves only; brands with more than five types are no leaves."""
+    """AGG-42: counts of leaves only; brands with more parts than the mean are no leaves."""
     part = table(spark, sf_dir, "part")
-    wide = part.groupBy("p_brand").agg(F.countDistinct("p_type").alias("k")).where("k > 5")
+    mean = part.agg((F.count("*") / 25).alias("mean"))  # one row
+    wide = part.groupBy("p_brand").agg(F.count("*").alias("k")).crossJoin(mean).where("k > mean")
     return part.join(wide, "p_brand", "left_anti").groupBy(F.col("p_type").alias("leaf")).agg(F.count("*").alias("n"))
 
 

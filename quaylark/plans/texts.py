@@ -42,6 +42,29 @@ def txt_01_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where("rank <= 3").crossJoin(F.broadcast(total)).select("p_brand", "p_partkey", "rank", "total_groups")
 
 
+@query(f"""
+WITH s AS ({_match_sql(("plate", "zzzz", "red"))}), r AS (SELECT * FROM s JOIN part USING (p_partkey) WHERE matched = (SELECT max(matched) FROM s))
+SELECT p_partkey, row_number() OVER (ORDER BY edits, exact DESC, p_retailprice DESC, p_partkey)::INTEGER AS place FROM r ORDER BY place LIMIT 20""")
+def txt_01_dropped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-01: a word that matches nothing beside the others is dropped; fewer edits, exact words, then the newest first (top-k)."""
+    part = table(spark, sf_dir, "part")
+    hits = textsearch.most_words(textsearch.matched(textsearch.inverted_index(part, "p_partkey", "p_name"), "p_partkey", ["plate", "zzzz", "red"]))
+    rows = hits.join(part.select("p_partkey", "p_retailprice"), "p_partkey")
+    order = [F.asc("edits"), F.desc("exact"), F.desc("p_retailprice"), F.asc("p_partkey")]
+    return textsearch.numbered_top(rows, order, 20).select("p_partkey", "place")
+
+
+@query(f"""
+WITH s AS ({_match_sql(("plata",))}), r AS (SELECT part.* FROM s JOIN part USING (p_partkey))
+SELECT 'brand' AS facet, p_brand AS value, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'type', p_type, count(*) FROM r GROUP BY 2""")
+def txt_01_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-01: facet counts of all hits of a keyword search, both facets from one pass."""
+    part = table(spark, sf_dir, "part")
+    hits = textsearch.matched(textsearch.inverted_index(part, "p_partkey", "p_name"), "p_partkey", ["plata"])
+    values = F.array(F.struct(F.lit("brand").alias("facet"), F.col("p_brand").alias("value")), F.struct(F.lit("type").alias("facet"), F.col("p_type").alias("value")))
+    return part.join(hits, "p_partkey", "left_semi").select(F.inline(values)).groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT c_custkey FROM customer WHERE starts_with(lower(c_name), 'customer#00000001') ORDER BY c_acctbal DESC, c_custkey LIMIT 10""")
 def txt_07_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-05/06/07/08/09: typeahead by prefix, heavier names first; symbols belong to tokens."""

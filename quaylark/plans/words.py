@@ -126,18 +126,18 @@ def fn_28_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), F.array_join(S.technologies(raw), ",").alias("found"))
 
 
-@query("SELECT p_partkey, regexp_matches(p_name, '(^|[^a-z])bolt($|[^a-z])') AS bolt, contains(p_name || '+ ', 'steel+ ') AS plus FROM part")
+@query("SELECT p_partkey, regexp_matches(p_name, '(^|[^a-z])bolt($|[^a-z])') AS bolt, contains(p_name || '+ ', 'anvil+ ') AS plus FROM part")
 def fn_29_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-29: borders beside words and beside symbols."""
     name = F.concat("p_name", F.lit("+ "))
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").rlike(S.border("bolt")).alias("bolt"), name.rlike(S.border(r"steel\+")).alias("plus"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").rlike(S.border("bolt")).alias("bolt"), name.rlike(S.border(r"anvil\+")).alias("plus"))
 
 
-_ALIASES = [("steel widget", "steel-widget"), ("widget", "widget"), ("bolt", "bolt"), ("extra large red anvil", "large-bolt"), ("special widget", "special")]
+_ALIASES = [("small widget", "small-widget"), ("widget", "widget"), ("bolt", "bolt"), ("extra large red anvil", "large-bolt"), ("special widget", "special")]
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'large-bolt' WHEN p_partkey % 5 = 1 THEN 'special'
- WHEN contains(' ' || p_name || ' ', ' special widget ') THEN 'special' WHEN contains(' ' || p_name || ' ', ' steel widget ') THEN 'steel-widget' WHEN contains(' ' || p_name || ' ', ' widget ') THEN 'widget' WHEN contains(' ' || p_name || ' ', ' bolt ') THEN 'bolt' END AS occupation FROM part""")
+ WHEN contains(' ' || p_name || ' ', ' special widget ') THEN 'special' WHEN contains(' ' || p_name || ' ', ' small widget ') THEN 'small-widget' WHEN contains(' ' || p_name || ' ', ' widget ') THEN 'widget' WHEN contains(' ' || p_name || ' ', ' bolt ') THEN 'bolt' END AS occupation FROM part""")
 def fn_30_occupation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-30: the whole title, else the longest alias between borders, else all words of a long alias in any order."""
     i = F.col("p_partkey") % 5
