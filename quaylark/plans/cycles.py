@@ -65,9 +65,19 @@ def _board_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", outcome.alias("outcome"))
 
 
-@query()
+@query("""
+WITH RECURSIVE log AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type WHEN 'view' THEN 's' WHEN 'signup' THEN 'e' WHEN 'purchase' THEN 'g' ELSE 'f' END AS x FROM events),
+ends AS (SELECT user_id, max(i) AS last FROM log GROUP BY 1),
+run AS (
+  SELECT user_id, 0::BIGINT AS i, 'active' AS status, 0 AS failures, 0 AS empties, 0 AS gones FROM ends
+  UNION ALL
+  SELECT user_id, i, CASE WHEN status = 'gone' THEN 'gone' WHEN x = 's' THEN 'active' WHEN g >= 2 OR e >= 6 THEN 'gone' WHEN g = 1 THEN 'gone_pending' WHEN f >= 5 THEN 'quarantined' WHEN e >= 3 THEN 'suspect' ELSE status END, f, e, g
+  FROM (SELECT r.user_id, l.i, r.status, l.x,
+    CASE l.x WHEN 'f' THEN r.failures + 1 WHEN 's' THEN 0 ELSE r.failures END AS f, CASE l.x WHEN 'e' THEN r.empties + 1 WHEN 's' THEN 0 ELSE r.empties END AS e, CASE l.x WHEN 'g' THEN r.gones + 1 ELSE 0 END AS g
+    FROM run r JOIN log l ON l.user_id = r.user_id AND l.i = r.i + 1))
+SELECT run.user_id, status, failures, empties FROM run JOIN ends ON run.user_id = ends.user_id AND run.i = ends.last""")
 def str_07_board_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-07/08/09/10: boards folded over their outcomes (tests compare with a plain loop)."""
+    """STR-07: boards folded over their outcomes: counters of empty answers, failures and gone answers, and the status they give."""
     return ingest.fold(_board_log(spark, sf_dir), "user_id", F.col("event_id"), "outcome")
 
 

@@ -161,3 +161,74 @@ def test_payload_hash_of_odd_payloads(spark):
     df = spark.createDataFrame(rows, "x string, y string, want boolean")
     h = lambda c: scalars.payload_hash(F.lit("d"), F.col(c))
     assert df.where((h("x") == h("y")) != F.col("want")).count() == 0
+
+
+def plain_blocks(page: str) -> list[tuple[str, str]]:
+    """Blocks by a tag scanner: text between block tags, with what must not be shown cut out before."""
+    import html
+    import re
+
+    block = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "pre", "div", "article", "section"}
+    shown = {"h1": "h2", "h5": "h4", "h6": "h4", "div": "p", "article": "p", "section": "p", "td": "p", "th": "p", "pre": "p", "blockquote": "p"}
+    page = re.sub(r"(?s)<!--.*?-->", "", page)
+    page = re.sub(r"(?is)<(script|style|noscript|nav|header|footer|template|svg)\b.*?</\1\s*>", "<hr>", page)
+    out, stack, text = [], ["p"], ""
+
+    def flush():
+        nonlocal text
+        if text.split():
+            out.append((shown.get(stack[-1], stack[-1]), " ".join(html.unescape(text).split())))
+        text = ""
+
+    for part in re.split(r"(<[^>]*>)", page):
+        tag = re.match(r"<(/?)(\w+)", part)
+        if not part.startswith("<"):
+            text += part
+        elif tag and tag[2].lower() == "br":
+            text += " "
+        elif tag and tag[2].lower() == "hr":
+            flush()
+        elif tag and tag[2].lower() in block:
+            flush()
+            name = tag[2].lower()
+            if not tag[1]:
+                stack.append(name)
+            elif name in stack[1:]:
+                while stack.pop() != name:
+                    pass
+    flush()
+    return out
+
+
+def test_blocks_of_pages_against_a_scanner(spark, sf_dir):
+    from quaylark.functions import extract
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got: dict = {}
+    for r in extract.blocks(pages, "page_id", "html").orderBy("page_id", "block_id").collect():
+        got.setdefault(r["page_id"], []).append((r["tag"], r["text"]))
+    clean = {r["page_id"]: r["clean"] for r in extract.normal_html(pages, "page_id", "html").collect()}
+    for r in pages.collect():
+        want = plain_blocks(r["html"])
+        assert got.get(r["page_id"], []) == want
+        assert clean[r["page_id"]] == "\n".join(f"<{t}>{x}</{t}>" for t, x in want)
+
+
+def test_languages_of_texts_against_a_loop(spark, sf_dir):
+    import re
+
+    from quaylark import catalogue
+    from quaylark.functions.extract import FUNCTION_WORDS
+
+    def language(text):
+        words = [w for w in re.split(r"[^a-zà-öø-ÿß]+", text.lower()) if w]
+        shares = {k: sum(w in v.split() for w in words) / max(1, len(words)) for k, v in FUNCTION_WORDS.items()}
+        best = max(sorted(shares), key=lambda k: (shares[k], k))
+        return best if shares[best] >= 0.03 else None
+
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        found = [k for c in plain_chunks(r["text"] or "", 500) if len(c) >= 80 and (k := language(c))]
+        want |= {(r["doc_id"], k, round(found.count(k) / len(found), 6)) for k in set(found) if found.count(k) / len(found) >= 0.15}
+    got = {tuple(r) for r in catalogue.queries()["fn_08_languages"](spark, sf_dir).collect()}
+    assert len(got ^ want) <= 0.01 * len(want)  # letters beyond the four languages part words differently
