@@ -168,8 +168,8 @@ FROM {POSTINGS} p JOIN {COMPANIES} c USING (company_id) JOIN nation n ON c.place
 def prj_01_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-01, JOI-14: one denormalised document a posting, sentinels included."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    place = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-    c = companies(spark, sf_dir).join(F.broadcast(place), F.col("place_id") == F.col("n_nationkey"))
+    place = n.join(r, n.n_regionkey == r.r_regionkey)
+    c = companies(spark, sf_dir).join(place, F.col("place_id") == F.col("n_nationkey"))
     ids = F.array("n_nationkey", F.col("r_regionkey") + 1000)
     return postings(spark, sf_dir).join(c, "company_id").select(
         "id", F.concat_ws(" | ", "name", "industry").alias("company"), F.col("n_name").alias("place"), F.col("r_name").alias("region"),
@@ -275,7 +275,7 @@ def smp_02_weighted_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = docs.groupBy("lang").agg(F.count("*").alias("n"))
     n = n.crossJoin(F.broadcast(n.agg(F.max("n").alias("most")))).select("lang", dataset.rarity(F.col("n"), F.col("most")).alias("w"))
     u = dataset.hashed_unit(F.lit(7), F.col("doc_id"))
-    drawn = docs.join(F.broadcast(n), "lang").orderBy(dataset.clock(u, F.col("w")), "doc_id").limit(100)
+    drawn = docs.join(n, "lang").orderBy(dataset.clock(u, F.col("w")), "doc_id").limit(100)
     return drawn.select("doc_id", F.round("w", 6).alias("weight"))
 
 
@@ -309,7 +309,7 @@ def qa_06_opt_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QA-06, SNK-06: sources that opted out leave the published set."""
     out = spark.createDataFrame([("SRC1",), ("Src2",)], "slug string").select(F.lower("slug").alias("slug"))
     docs = table(spark, sf_dir, "documents")
-    return docs.join(F.broadcast(out), F.lower("source") == F.col("slug"), "left_anti").select("doc_id")
+    return docs.join(out, F.lower("source") == F.col("slug"), "left_anti").select("doc_id")
 
 
 @query("""
@@ -351,4 +351,4 @@ def qa_09_retirement_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_13_miss_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QA-13, JOI-26: unresolved values get their id once it is known."""
     known = spark.createDataFrame([("PROMO", 1), ("LARGE", 2)], "p_type string, taxonomy_id int")
-    return table(spark, sf_dir, "part").where("p_size < 10").join(F.broadcast(known), "p_type", "left").select("p_partkey", "taxonomy_id")
+    return table(spark, sf_dir, "part").where("p_size < 10").join(known, "p_type", "left").select("p_partkey", "taxonomy_id")

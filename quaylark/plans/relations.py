@@ -244,7 +244,7 @@ def agg_21_location_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = p.where("kind = 'country'").select(F.col("id").alias("place_id"), F.col("name").alias("country"), F.col("parent_id"))
     r = p.where("kind = 'region'").select(F.col("id").alias("parent_id"), F.col("name").alias("region"))
     by_company = postings(spark, sf_dir).where("is_active").groupBy("company_id").agg(F.count("*").alias("n"))
-    flat = by_company.join(companies(spark, sf_dir), "company_id").join(F.broadcast(n), "place_id").join(F.broadcast(r), "parent_id")
+    flat = by_company.join(companies(spark, sf_dir), "company_id").join(n, "place_id").join(r, "parent_id")
     return flat.rollup("region", "country").agg(F.sum("n").alias("postings")).where("region IS NOT NULL")
 
 

@@ -133,7 +133,7 @@ def txt_15_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_17_slug_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-17: slugs to places with their parent's name."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.where(F.lower("n_name").isin("nation_3", "nation_14")).join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("id"), F.concat_ws("/", "r_name", "n_name").alias("full_name"))
+    return n.where(F.lower("n_name").isin("nation_3", "nation_14")).join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("id"), F.concat_ws("/", "r_name", "n_name").alias("full_name"))
 
 
 @query(r"""
