@@ -14,7 +14,10 @@ def insert_absent(target: DataFrame, rows: DataFrame, key: Sequence[str]) -> Dat
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: Sequence[str], coalesce: bool = True) -> DataFrame:
-    """Full merge by key; with ``coalesce`` a null in ``rows`` keeps the stored value."""
+    """Full merge by key; with ``coalesce`` a null in ``rows`` keeps the stored value.
+
+    A key that ``rows`` repeats would give its target row as often: reduce with ``last_of_each`` first.
+    """
     t, r = target.alias("t"), rows.withColumn("_new", F.lit(True)).alias("r")
     both = t.join(r, [*key], "full_outer")
     rest = [c for c in target.columns if c not in key]
@@ -23,7 +26,7 @@ def upsert(target: DataFrame, rows: DataFrame, key: Sequence[str], coalesce: boo
 
 
 def update_where(target: DataFrame, rows: DataFrame, key: Sequence[str], sets: dict[str, Column], guard: Column) -> DataFrame:
-    """Columns of matched rows for which ``guard`` holds; rows alias n, target alias t."""
+    """Columns of matched rows for which ``guard`` holds; rows alias n, target alias t; keys of ``rows`` are unique as in ``upsert``."""
     both = target.alias("t").join(rows.withColumn("_hit", F.lit(True)).alias("n"), [*key], "left")
     hit = F.coalesce(F.col("_hit") & guard, F.lit(False))
     cols = [F.when(hit, sets[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in sets else (F.col(c) if c in key else F.col(f"t.{c}").alias(c)) for c in target.columns]
@@ -40,3 +43,10 @@ def split_rejects(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame,
     failed = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
     marked = df.withColumn("failed", failed)
     return marked.where(F.size("failed") == 0).drop("failed"), marked.where(F.size("failed") > 0)
+
+
+def last_of_each(rows: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
+    """The row with the greatest ``order`` of each key, so that a merge meets every key once."""
+    rest = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select(*key, *[F.col("_last")[c].alias(c) for c in rest])

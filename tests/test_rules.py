@@ -232,3 +232,12 @@ def test_languages_of_texts_against_a_loop(spark, sf_dir):
         want |= {(r["doc_id"], k, round(found.count(k) / len(found), 6)) for k in set(found) if found.count(k) / len(found) >= 0.15}
     got = {tuple(r) for r in catalogue.queries()["fn_08_languages"](spark, sf_dir).collect()}
     assert len(got ^ want) <= 0.01 * len(want)  # letters beyond the four languages part words differently
+
+
+def test_repeated_keys_merge_once(spark):
+    from quaylark.operators import merge
+
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    rows = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (3, "z", 1), (1, None, 0)], "id int, v string, n int")
+    got = merge.upsert(target, merge.last_of_each(rows, ["id"], F.col("n")).select("id", "v"), ["id"])
+    assert sorted(map(tuple, got.collect())) == [(1, "y"), (2, "b"), (3, "z")]
