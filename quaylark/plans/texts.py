@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import extract, queryparse
+from ..functions import extract
 from ..operators import textsearch
 from ..registry import query
 from ..tables import companies, postings, table
