@@ -17,8 +17,6 @@ back to the paths can be split by Spark; columns besides id and text are ignored
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
