@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, gifmedia, langid, secrets, simhash, tokencount, tokenfiles, toxicity
+from . import bpe, chat, decontam, gifmedia, langid, mixing, secrets, simhash, tokencount, tokenfiles, toxicity
 from .common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secrets, op2_simhash, op3_bpe, op4_chat, op5_toxicity, op6_gif, op7_token_counts, op8_language, op9_token_files, op10_decontamination, pipeline)
+    own = (op1_secrets, op2_simhash, op3_bpe, op4_chat, op5_toxicity, op6_gif, op7_token_counts, op8_language, op9_token_files, op10_decontamination, op11_mixing, pipeline)
     return {f.__name__: f for f in own}
 
 
