@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, gifmedia, langid, mixing, secrets, simhash, tokencount, tokenfiles, toxicity
+from . import bpe, chat, collocations, decontam, gifmedia, langid, mixing, prefixtrie, secrets, simhash, sql, tokencount, tokenfiles, toxicity
 from .common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -67,6 +67,14 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations")).drop("rank", "last")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secrets, op2_simhash, op3_bpe, op4_chat, op5_toxicity, op6_gif, op7_token_counts, op8_language, op9_token_files, op10_decontamination, op11_mixing, pipeline)
+    own = (op1_secrets, op2_simhash, op3_bpe, op4_chat, op5_toxicity, op6_gif, op7_token_counts, op8_language, op9_token_files, op10_decontamination, op11_mixing, op12_collocations, op13_prefix_trie, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -158,4 +166,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _secrets_sql(), "op4_chat": _chat_sql(), "op10_decontamination": _decontamination_sql()}
+    return {"op1_secrets": _secrets_sql(), "op4_chat": _chat_sql(), "op10_decontamination": _decontamination_sql(), "op12_collocations": sql.collocations_sql(), "op13_prefix_trie": sql.prefix_trie_sql()}
