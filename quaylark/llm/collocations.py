@@ -178,6 +178,19 @@ def bit_table(grams: DataFrame, k: int, max_bits: int = MAX_BITS) -> tuple[Broad
     return grams.sparkSession.sparkContext.broadcast(bytes(table)), bits
 
 
+def tallies(words: Words, at: np.ndarray, k: int, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of runs of ``k`` words and how often each run stands at the places ``at``, in one or two parts that may share runs."""
+    _, first, group, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    head = at[first][group]  # the place whose run stands for this one, if all words are the same
+    same = words.lang[at] == words.lang[head]
+    for j in range(k):
+        same &= words.ids[at + j] == words.ids[head + j]
+    yield at[first], np.bincount(group[same], minlength=len(n))
+    odd = at[~same]  # runs that only share a hash with another
+    if len(odd):
+        yield odd, np.ones(len(odd), np.int64)
+
+
 def level_counts(docs: DataFrame, below: DataFrame, k: int, batch_bytes: int = BATCH_BYTES, max_bits: int = MAX_BITS) -> DataFrame:
     """(lang, gram, f) of the runs of ``k`` words both of whose runs of k - 1 words may be among ``below``."""
     table, bits = bit_table(below, k - 1, max_bits)
@@ -194,16 +207,8 @@ def level_counts(docs: DataFrame, below: DataFrame, k: int, batch_bytes: int = B
             for j in range(k - 1):
                 whole &= words.follows[j : j + len(whole)]
             at = np.flatnonzero(whole)
-            _, first, group, n = np.unique(_mixed(own[at], own[at + 1]), return_index=True, return_inverse=True, return_counts=True)
-            head = at[first][group]  # the place whose run stands for this one, if all words are the same
-            same = words.lang[at] == words.lang[head]
-            for j in range(k):
-                same &= words.ids[at + j] == words.ids[head + j]
-            n = np.bincount(group[same], minlength=len(n))
-            yield _rows(langs, words.lang[at[first]], words.grams(at[first], k), n)
-            odd = at[~same]  # runs that only share a hash with another
-            if len(odd):
-                yield _rows(langs, words.lang[odd], words.grams(odd, k), np.ones(len(odd), np.int64))
+            for first, n in tallies(words, at, k, _mixed(own[at], own[at + 1])):
+                yield _rows(langs, words.lang[first], words.grams(first, k), n)
 
     return in_batches(_texts(docs), run, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("f"))
 
