@@ -148,18 +148,3 @@ def failures_since_success(log: DataFrame, key: str, order: str, outcome: str) -
     last = log.where(F.col(outcome) == "success").groupBy(key).agg(F.max(order).alias("_ok"))
     since = F.col("_ok").isNull() | (F.col(order) > F.col("_ok"))
     return log.join(last, key, "left").groupBy(key).agg(F.count_if((F.col(outcome) == "failure") & since).alias("failures"))
-
-
-def gone_confirmations(log: DataFrame, key: str, time: str, outcome: str, apart_hours: int = 6, fresh_days: int = 7) -> DataFrame:
-    """(key, confirmations, gone) of keys with "gone" answers since their last success.
-
-    Answers in one span of ``apart_hours`` (counted from the first) confirm once. Two
-    confirmations end a key, three if it worked less than ``fresh_days`` before the first.
-    """
-    last = log.where(F.col(outcome) == "success").groupBy(key).agg(F.max(time).alias("_ok"))
-    gone = log.where(F.col(outcome) == "gone").join(last, key, "left").where(F.col("_ok").isNull() | (F.col(time) > F.col("_ok")))
-    first = gone.groupBy(key).agg(F.min(time).alias("_first"))
-    span = F.floor((F.unix_micros(time) - F.unix_micros("_first")) / (apart_hours * 3_600_000_000))
-    by = gone.join(first, key).groupBy(key).agg(F.countDistinct(span).alias("confirmations"), F.max("_ok").alias("_ok"), F.min(time).alias("_first"))
-    fresh = F.coalesce(F.unix_micros("_first") - F.unix_micros("_ok") < fresh_days * 86_400_000_000, F.lit(False))
-    return by.select(key, "confirmations", (F.col("confirmations") >= F.when(fresh, 3).otherwise(2)).alias("gone"))

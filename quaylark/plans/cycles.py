@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dataset, ingest, merge, publish
+from ..operators import composed, dataset, ingest, merge, publish
 from ..registry import query
 from ..tables import COMPANIES, POSTINGS, companies, postings, table
 
@@ -77,8 +77,8 @@ run AS (
     FROM run r JOIN log l ON l.user_id = r.user_id AND l.i = r.i + 1))
 SELECT run.user_id, status, failures, empties FROM run JOIN ends ON run.user_id = ends.user_id AND run.i = ends.last""")
 def str_07_board_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-07: boards folded over their outcomes: counters of empty answers, failures and gone answers, and the status they give."""
-    return ingest.fold(_board_log(spark, sf_dir), "user_id", F.col("event_id"), "outcome")
+    """STR-03/07/08/09: boards folded over their outcomes, stretches of a log composed: counters of empty answers, failures and gone answers, and the status they give."""
+    return composed.fold(_board_log(spark, sf_dir), "user_id", F.col("event_id"), "outcome")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dataset, ingest, merge, publish
+from ..operators import dataset, gone, ingest, merge, publish
 from ..registry import query
 from ..sources import readers
 from ..storage import fresh_path
@@ -258,15 +258,26 @@ def str_09_success_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id AS board, ts, event_type = 'signup' AS ok, event_type = 'error' AS gone FROM events WHERE event_type IN ('error', 'signup')),
-s AS (SELECT board, max(ts) FILTER (ok) AS last_ok FROM e GROUP BY 1),
-g AS (SELECT e.board, e.ts, last_ok FROM e JOIN s USING (board) WHERE gone AND (last_ok IS NULL OR e.ts > last_ok)),
-c AS (SELECT board, last_ok, ts, floor(date_diff('microsecond', min(ts) OVER (PARTITION BY board), ts) / 21600000000.0) AS slot FROM g)
-SELECT board, count(DISTINCT slot) AS confirmations, count(DISTINCT slot) >= CASE WHEN any_value(last_ok) IS NOT NULL AND date_diff('microsecond', any_value(last_ok), min(ts)) < 7 * 86400000000 THEN 3 ELSE 2 END AS gone FROM c GROUP BY 1""")
+WITH RECURSIVE log AS (
+  SELECT board, t, x, row_number() OVER (PARTITION BY board ORDER BY t, x) AS i
+  FROM (SELECT user_id AS board, epoch_us(ts) AS t, CASE WHEN event_type = 'signup' THEN 'success' ELSE 'gone' END AS x FROM events WHERE event_type <> 'view' AND ts IS NOT NULL)),
+ends AS (SELECT board, max(i) AS last FROM log GROUP BY 1),
+run AS (
+  SELECT board, 0::BIGINT AS i, 'active' AS status, 0 AS n, NULL::BIGINT AS first_at, NULL::BIGINT AS last_at, NULL::BIGINT AS success_at, NULL::BIGINT AS gone_at, NULL::BIGINT AS next_at FROM ends
+  UNION ALL
+  SELECT board, i, CASE WHEN x = 'success' THEN 'active' WHEN over THEN 'gone' ELSE 'gone_pending' END, CASE WHEN x = 'success' THEN 0 ELSE n END, first_at, last_at, CASE WHEN x = 'success' THEN t ELSE success_at END,
+    CASE WHEN x = 'success' OR NOT over THEN NULL ELSE coalesce(gone_at, t) END, CASE WHEN x <> 'success' THEN last_at + CASE WHEN over THEN 24 ELSE 6 END * 3600000000 END
+  FROM (SELECT *, status = 'gone' OR n >= CASE WHEN t - success_at <= 168 * 3600000000 THEN 3 ELSE 2 END AS over
+    FROM (SELECT board, i, t, x, status, success_at, gone_at, n + (counts AND status <> 'gone')::INTEGER AS n, CASE WHEN counts AND status <> 'gone' AND n = 0 THEN t ELSE first_at END AS first_at, CASE WHEN counts THEN t ELSE last_at END AS last_at
+      FROM (SELECT r.board, l.i, l.t, l.x, r.status, r.n, r.first_at, r.last_at, r.success_at, r.gone_at,
+          l.x = 'gone' AND CASE WHEN r.status = 'gone' THEN l.t - r.last_at >= 24 * 3600000000 ELSE r.n = 0 OR l.t - r.last_at >= 6 * 3600000000 END AS counts
+        FROM run r JOIN log l ON l.board = r.board AND l.i = r.i + 1))))
+SELECT run.board, status, n AS confirmations, first_at, last_at, success_at, gone_at, next_at FROM run JOIN ends ON run.board = ends.board AND run.i = ends.last""")
 def str_10_gone_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-10: a board is gone after two "gone" answers in different spans of 6 hours, three if it worked less than 7 days before."""
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'signup')").select(F.col("user_id").alias("board"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "gone").otherwise("success").alias("x"))
-    return ingest.gone_confirmations(e, "board", "ts", "x")
+    """STR-10: "gone" answers six hours apart confirm; two end a board, three if it worked in the last seven days; ended boards are probed daily."""
+    x = F.when(F.col("event_type") == "signup", "success").when(F.col("event_type") != "view", "gone")
+    boards = gone.confirmed(table(spark, sf_dir, "events").select(F.col("user_id").alias("board"), "ts", x.alias("x")), "board", "ts", "x")
+    return boards.select("board", "status", "confirmations", *[F.unix_micros(t).alias(t) for t in gone.TIMES])
 
 
 @query("SELECT id, updated_at FROM (SELECT event_id AS id, ts AS updated_at FROM events) WHERE updated_at > TIMESTAMP '2024-01-10' AND updated_at < TIMESTAMP '2024-01-25' ORDER BY updated_at, id LIMIT 50".replace("SELECT id, updated_at FROM", "SELECT id, strftime(updated_at, '%Y-%m-%d') AS day FROM", 1))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ingest import EMPTY_DELIST, EMPTY_SUSPECT, FAILURES_QUARANTINE, diff
+from ..operators.ingest import after_outcome as _step
+from ..operators.ingest import diff
 
 
 def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -32,26 +33,6 @@ def windowed_counts(events: DataFrame, time: str, window: str, delay: str, key:
 STATE = "status string, failures int, empties int, gones int"
 
 
-def _step(state: tuple[str, int, int, int], outcome: str) -> tuple[str, int, int, int]:
-    status, failures, empties, gones = state
-    failures = failures + 1 if outcome == "failure" else 0 if outcome == "success" else failures
-    empties = empties + 1 if outcome == "empty" else 0 if outcome == "success" else empties
-    gones = gones + 1 if outcome == "gone" else 0
-    if status == "gone":
-        pass
-    elif outcome == "success":
-        status = "active"
-    elif gones >= 2 or empties >= EMPTY_DELIST:
-        status = "gone"
-    elif gones == 1:
-        status = "gone_pending"
-    elif failures >= FAILURES_QUARANTINE:
-        status = "quarantined"
-    elif empties >= EMPTY_SUSPECT:
-        status = "suspect"
-    return status, failures, empties, gones
-
-
 def board_states(events: DataFrame, key: str, order: str, outcome: str) -> DataFrame:
     """Board states kept over a stream (key long, status, failures, empties): the fold of the batch form with stored state."""
 

@@ -140,13 +140,6 @@ def test_buckets_fill_in_order(spark):
     assert got == {("s", "a"): 1, ("s", "b"): 1, ("s", "c"): 2, ("s", "d"): 3, ("s", "e"): 4, ("s", "f"): 4, ("t", "x"): 1}
 
 
-def test_gone_confirmations(spark):
-    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
-    rows = [("a", at(0), "gone"), ("a", at(2), "gone"), ("b", at(0), "gone"), ("b", at(7), "gone"), ("c", at(0), "success"), ("c", at(5), "gone"), ("c", at(20), "gone"), ("d", at(0), "gone"), ("d", at(1), "success"), ("e", at(0), "success"), ("e", at(24 * 8), "gone"), ("e", at(24 * 8 + 9), "gone")]
-    got = {r["k"]: (r["confirmations"], r["gone"]) for r in ingest.gone_confirmations(spark.createDataFrame(rows, "k string, t timestamp, x string"), "k", "t", "x").collect()}
-    assert got == {"a": (1, False), "b": (2, True), "c": (2, False), "e": (2, True)}
-
-
 def test_urls(spark):
     rows = [("HTTP://Jobs.Example.COM.:80/a/?b=2&a=1&utm_x=1#t", "https://jobs.example.com/a?a=1&b=2"), ("https://x.org", "https://x.org/"), ("https://u:p@x.org/", None), ("ftp://x.org/", None), ("", None), (None, None), ("https://x.org:8443//", "https://x.org:8443/")]
     df = spark.createDataFrame(rows, "raw string, want string")
