@@ -41,7 +41,7 @@ COVER = 100
 #: The table of frequent runs has up to 2**MAX_BITS bits (32 MB), and BITS_EACH or more for each run below that.
 MAX_BITS, BITS_EACH = 28, 32
 #: Bytes of text that a task has in hand, and of a segment of a long text.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 #: Groups that a language's phrases are dealt into before the last ranking.
 SALTS = 64
 
