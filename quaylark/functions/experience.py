@@ -7,27 +7,51 @@ from pyspark.sql import functions as F
 
 from .spans import FLAGS, held, matches
 
-_UNIT = r"\+?\s?(?:years|year|yrs|yr|jahre|jahren|ans|años)\b"
-#: Ranges, least numbers said as such, and numbers with a word of experience behind them.
+#: Units of time in eight languages, and words for experience and for a minimum.
+YEAR_UNITS = ("years", "year", "yrs", "yr", "jahren", "jahre", "jahr", "ans", "an", "anni", "anno", "años", "año", "jaar", "jaren", "år")
+MONTH_UNITS = ("months", "month", "monaten", "monate", "monat", "mois", "mesi", "mese", "meses", "mes", "maanden", "maand", "månader", "måneder")
+EXPERIENCE = ("experience", "erfahrung", "berufserfahrung", "expérience", "experiencia", "esperienza", "ervaring", "erfarenhet", "erfaring")
+AT_LEAST = ("at least", "minimum of", "minimum", "min.", "min", "over", "mindestens", "au moins", "al menos", "almeno", "minimo", "minimaal", "minst")
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "|".join(w.replace(".", r"\.") for w in words)
+
+
+_N, _GAP = r"\d{1,2}(?:[.,]\d)?", r"\s?"
+_DASH = r"(?:-|–|—|\bto\b)"
+_UNIT = rf"[+＋]?\s?(?P<unit>{_any(YEAR_UNITS)}|{_any(MONTH_UNITS)})\b"
+_FREE = r"(?<![\d.,–-])"
+_WORD = _any(EXPERIENCE)
+#: Ranges (each end may have its unit), least numbers said as such, numbers with a word of experience behind or before them.
 FAMILIES = (
-    r"(?<![\d.,–-])(?P<low>\d{1,2})\s?(?:-|–|\bto\b)\s?(?P<high>\d{1,2})\s?" + _UNIT,
-    r"(?:at least|minimum(?: of)?|min\.?|over|mindestens|au moins|al menos)\s(?P<low>\d{1,2})\s?" + _UNIT,
-    r"(?<![\d.,–-])(?<![–-] )(?<!to )(?P<low>\d{1,2})\s?" + _UNIT + r"(?=[^.\n]{0,40}(?:experience|erfahrung|expérience|experiencia))",
+    _FREE + rf"(?P<low>{_N}){_GAP}{_DASH}{_GAP}(?P<high>{_N})\s?{_UNIT}",
+    _FREE + rf"(?P<low>{_N}){_GAP}(?P<lowunit>{_any(MONTH_UNITS)}){_GAP}{_DASH}{_GAP}(?P<high>{_N})\s?{_UNIT}",
+    rf"(?:{_any(AT_LEAST)})\s(?P<low>{_N})\s?{_UNIT}",
+    _FREE + rf"(?<![–-] )(?<!to )(?P<low>{_N})\s?{_UNIT}(?=[^.\n]{{0,40}}(?:{_WORD}))",
+    rf"\b(?:{_WORD})\s(?:(?:von|van|di|de)\s)?(?:(?:{_any(AT_LEAST)})\s)?(?P<low>{_N})\s?{_UNIT}",
 )
 #: What speaks of the company, its history or its people when it stands before a number.
 NOT_ASKED = r"(founded|for over|history|our company|established|warranty|years? old|celebrat)[^.\n]{0,60}$"
 MOST = 30
-YEARS = "array<struct<low:int,high:int>>"
+YEARS = "array<struct<low:double,high:double>>"
 
 
 def found(text: Column, pattern: str) -> Column:
     """array<struct<low,high>> that one family reads; numbers over 30 and those about the company do not count."""
     double = "<high>" in pattern
 
+    def years(number: Column, unit: Column) -> Column:
+        """Years with one decimal, halves up; months are twelfths."""
+        months = F.lower(unit).isin(*MONTH_UNITS)
+        value = F.regexp_replace(number, ",", ".").cast("decimal(6,3)")
+        return F.round(F.when(months, value / 12).otherwise(value), 1).cast("double")
+
     def read(m: Column) -> Column:
-        high = F.expr("cast(null as int)") if not double else m["high"].cast("int")
+        low_unit = m["lowunit"] if "<lowunit>" in pattern else m["unit"]
+        high = years(m["high"], m["unit"]) if double else F.expr("cast(null as double)")
         before = F.substr(text, F.greatest(m["start"] - 60, F.lit(0)) + 1, F.least(m["start"], F.lit(60)))
-        return F.struct(m["low"].cast("int").alias("low"), high.alias("high"), before.alias("before"))
+        return F.struct(years(m["low"], low_unit).alias("low"), high.alias("high"), before.alias("before"))
 
     def asked(r: Column) -> Column:
         ok = (r["low"] <= MOST) & ~r["before"].rlike(FLAGS + NOT_ASKED)

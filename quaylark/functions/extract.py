@@ -1,4 +1,4 @@
-"""Structured attributes from text: occupation, language, HTML blocks. Pay, experience and places have modules of their own."""
+"""Structured attributes from text: occupation and HTML blocks. Pay, experience, places, languages and HTML forms have modules of their own."""
 
 from __future__ import annotations
 
@@ -33,31 +33,6 @@ def with_occupation(df: DataFrame, key: str, title: str, aliases: DataFrame, lea
     return df.join(best, key, "left")
 
 
-# --- language ----------------------------------------------------------------------
-
-#: Frequent function words of each language.
-FUNCTION_WORDS = {
-    "en": "the and of to in is that for with are this on be",
-    "de": "der die das und in den von zu mit ist nicht ein für",
-    "fr": "le la les de des et un une que qui pour dans est",
-    "es": "el la los de del y en un una que por con para",
-}
-
-
-def language(text: Column, chars: int | None = None, least: float = 0.03) -> Column:
-    """The language with the largest share of function words, if it reaches ``least``; null else."""
-    head = F.substring(text, 1, chars) if chars else text
-    words = F.filter(F.split(F.lower(head), r"[^\p{L}]+"), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1))
-    scored = F.array(*[F.struct((F.size(F.filter(words, _among(ws.split()))) / n).alias("s"), F.lit(lang).alias("l")) for lang, ws in sorted(FUNCTION_WORDS.items())])
-    best = F.array_max(scored)
-    return F.when(best["s"] >= least, best["l"])
-
-
-def _among(words: list[str]):
-    return lambda w: w.isin(*words)
-
-
 # --- HTML blocks --------------------------------------------------------------------
 
 BLOCKS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())]))
@@ -131,11 +106,6 @@ def blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, "block_id", "b.tag", "b.text")
 
 
-def normal_html(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, clean): pages rebuilt from their blocks, without attributes, scripts and unknown tags."""
-    return pages.select(key, F.array_join(F.transform(_blocks(F.col(html)), lambda b: F.concat(F.lit("<"), b["tag"], F.lit(">"), b["text"], F.lit("</"), b["tag"], F.lit(">"))), "\n").alias("clean"))
-
-
 def bullets(text: Column) -> Column:
     """Plain text to paragraphs and a list: lines that start with a bullet become items."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda l: F.trim(l)), lambda l: l != "")

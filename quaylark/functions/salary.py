@@ -32,7 +32,11 @@ _RANGE = _low() + _DASH
 #: Words that speak of pay, of money that is not pay, and of perks.
 SALARY_WORDS = r"\b(salary|salaries|compensation|pay|wage|wages|remuneration|base|ote|gehalt|vergütung|lohn|brutto|gross|salaire|rémunération|wynagrodzenie|mzda|plat|lön|løn|fizetés|bér|salariu|заплата|earn|per (?:hour|year|month|annum)|annual|annually|hourly|monthly|yearly)"
 REVENUE_WORDS = r"\b(revenue|funding|raised|valuation|turnover|umsatz|sales of|billion|bn|million|mn|milliard\w*|miljard\w*|miliard\w*|mia\.?|mdr\.?|budget|project)\b"
-PERK_WORDS = r"(transport.{0,10}(?:compensation|allowance|zuschuss)|referral.{0,10}(?:bonus|reward|program)|recommend.{0,10}(?:reward|bonus)|empfehlung|child.{0,10}(?:bonus|benefit|allowance)|zuschuss|commuting.{0,10}allowance|sign[- ]?on bonus|gift card|бонус|ваучер)"
+#: What perks are about and what they are called; a perk names both, close together.
+_PERK_TOPICS = ("transport", "commut", "travel", "referral", "recommend", "child", "newborn", "meal", "relocation", "gym", "sport", "tennis", "language")
+_PERK_NAMES = ("allowance", "bonus", "reward", "benefit", "compensation", "subsidy", "program", "zuschuss")
+_PERK_ALONE = ("zuschuss", "empfehlung", "gift card", "sign-on bonus", "sign on bonus", "signing bonus", "бонус", "ваучер")
+PERK_WORDS = "(" + "|".join([*_PERK_ALONE, rf"\b(?:{'|'.join(_PERK_TOPICS)}).{{0,10}}(?:{'|'.join(_PERK_NAMES)})", rf"\bcompensation for .{{0,20}}(?:{'|'.join(_PERK_TOPICS)})"]) + ")"
 NET_WORDS = r"\b(netto|net|na rękę|čistého|после данъци)\b"
 PROJECT_WORDS = r"\b(budget|project|contract value|turnover)\b"
 #: Currency by what stands before the dollar sign.

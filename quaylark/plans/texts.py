@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import extract
+from ..functions import extract, htmltree, languages
 from ..operators import textsearch
 from ..registry import query
 from ..tables import companies, postings, table
@@ -149,21 +150,25 @@ def txt_19_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extraction -----------------------------------------------------------------------
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> tuple[list[str], np.ndarray]:
+    """Learnt from three quarters of the labelled documents; the rest is held out (tests state the accuracy on it)."""
+    docs = table(spark, sf_dir, "documents")
+    return languages.learn(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2), "text", "lang")
+
+
 @query()
 def fn_07_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-07: language by function words; tests report the agreement with the given labels."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", extract.language(F.col("text")).alias("found"))
+    """FN-07: language of the first 500 characters by learnt trigram probabilities; null without a clear lead."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return languages.with_languages(docs, "text", _language_model(spark, sf_dir)).select("doc_id", "lang", F.col("language").alias("found"))
 
 
 @query()
 def fn_08_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-08/09: languages of pieces of 500 characters with a share of 15 % or more."""
-    from ..functions.scalars import chunks
-
-    pieces = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunks(F.col("text"))).alias("c")).where(F.length("c") >= 80)
-    found = pieces.select("doc_id", extract.language(F.col("c")).alias("lang")).where("lang IS NOT NULL").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))
-    return found.select("doc_id", "lang", F.round(share, 6).alias("share")).where("share >= 0.15")
+    """FN-08/09: languages of 15 % or more of a text's chunks of 500 characters (80 at least), largest first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = languages.with_languages(docs, "text", _language_model(spark, sf_dir))
+    return found.select("doc_id", F.posexplode("languages").alias("place", "lang"))
 
 
 @query()
@@ -174,5 +179,11 @@ def fn_06_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fn_03_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-03/04: pages rebuilt from allowed tags."""
-    return extract.normal_html(table(spark, sf_dir, "pages"), "page_id", "html")
\ No newline at end of file
+    """FN-03: pages with their structure, allowed tags without attributes only (tests: exact trees, and no visible text lost)."""
+    return htmltree.normalised(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "clean")
+
+
+@query()
+def fn_04_labelled_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-04/05: pages as blocks for labelling, their plain text, its share of the visible text, and what the parser met."""
+    return htmltree.normalised(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "labelled", "text", "coverage", "strays", "broken")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import experience, extract, scalars as S
+from ..functions import dictionary, experience, extract, scalars as S
 from ..operators import filters
 from ..registry import query
 from ..sources import readers
@@ -84,12 +84,12 @@ def fn_31_title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEVELS = [
     ("Senior %", "senior"), ("Sr. %", "senior"), ("Junior %", "entry"), ("Jr %", "entry"), ("Principal %", "principal"), ("Distinguished %", "principal"), ("Staff %", "staff"), ("Lead %", "lead"), ("Lead Generation %", None),
-    ("Team Lead %", "lead"), ("Head of %", "director"), ("Overhead %", None), ("Director of %", "director"), ("Art Director of %", None), ("VP, %", "director"), ("Chief % Officer", "executive"), ("CTO %", "executive"),
-    ("Geschäftsführerin (m/w/d) %", "executive"), ("% Intern", "intern"), ("Internal % Auditor", None), ("Praktikant/in %", "intern"), ("Graduate Program %", "entry"), ("%", None), ("% (Senior)", None),
+    ("Team Lead %", "lead"), ("Head of %", "director"), ("Overhead %", None), ("Director of %", "director"), ("Art Director of %", None), ("VP %", "director"), ("Chief % Officer", None), ("CTO %", "executive"),
+    ("Geschäftsführerin (m/w/d) %", "executive"), ("% Intern", "intern"), ("Internal % Auditor", None), ("Praktikant/in %", "intern"), ("Working Student, %", "intern"), ("CIO Advisory %", None), ("Graduate Program %", "entry"), ("%", None), ("% (Senior)", None),
 ]
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 24 = 15 AND len(string_split(p_name, ' ')) > 3 THEN NULL ELSE (" + _list([v for _, v in _LEVELS]) + ")[p_partkey % 24 + 1] END AS level FROM part")
+@query("SELECT p_partkey, (" + _list([v for _, v in _LEVELS]) + f")[p_partkey % {len(_LEVELS)} + 1] AS level FROM part")
 def fn_32_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-32: levels of titles made from names; a wrong level is worse than none."""
     title = F.replace(_cycled(F.col("p_partkey"), [t for t, _ in _LEVELS]), F.lit("%"), F.col("p_name"))
@@ -116,14 +116,15 @@ def fn_34_location_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), S.location_type(raw).alias("kind"))
 
 
-_SKILLS = [("C++ and C# on .NET", "c++,csharp,dotnet"), ("Python, JS and SQL!", "python,javascript,sql"), ("We go places in R", "r"), ("Go or golang", "go"), ("Apache Spark in Java", "java,spark"), ("spark of genius, javascripting", ""), ("R&D with c++20", "r"), ("T-SQL", "sql")]
-
-
-@query(_pairs("p_partkey", "part", _SKILLS, "raw", "found"))
+@query("""
+WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{7,}')) AS term FROM benchmark),
+words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS term FROM documents)
+SELECT doc_id, count(*) AS n_found, md5(string_agg(term, ',' ORDER BY term)) AS found FROM words JOIN terms USING (term) GROUP BY doc_id""")
 def fn_28_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-28: technologies between borders; capitals count where the table says so."""
-    raw = _cycled(F.col("p_partkey"), [k for k, _ in _SKILLS])
-    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), F.array_join(S.technologies(raw), ",").alias("found"))
+    """FN-28: terms of a dictionary (the long words of the benchmark items) between borders in whole documents, one pass a text."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{7,}"), F.lit(0))).alias("term")).distinct()
+    found = dictionary.with_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", terms.select(F.col("term").alias("slug"), "term", F.lit(False).alias("capitals")))
+    return found.where(F.size("terms") > 0).select("doc_id", F.size("terms").cast("long").alias("n_found"), F.md5(F.array_join("terms", ",")).alias("found"))
 
 
 @query("SELECT p_partkey, regexp_matches(p_name, '(^|[^a-z])bolt($|[^a-z])') AS bolt, contains(p_name || '+ ', 'anvil+ ') AS plus FROM part")
@@ -146,7 +147,7 @@ def fn_30_occupation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.with_occupation(table(spark, sf_dir, "part").select("p_partkey", title.alias("title")), "p_partkey", "title", aliases).select("p_partkey", "occupation")
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN a <= 30 THEN a END AS low, CASE WHEN a <= 30 AND k = 1 THEN b END AS high FROM (SELECT o_orderkey, o_orderkey % 4 AS k, (o_orderkey % 37)::INTEGER AS a, least(o_orderkey % 37 + 2, 30)::INTEGER AS b FROM orders) WHERE k < 3 AND a <= 30""")
+@query("""SELECT o_orderkey AS id, a::DOUBLE AS low, (CASE WHEN k = 1 THEN b END)::DOUBLE AS high FROM (SELECT o_orderkey, o_orderkey % 4 AS k, (o_orderkey % 37)::INTEGER AS a, least(o_orderkey % 37 + 2, 30)::INTEGER AS b FROM orders) WHERE k < 3 AND a <= 30""")
 def fn_26_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-26: years asked for, as a minimum, a range or with a word behind; the highest of several, company history aside."""
     k, a = F.col("o_orderkey") % 4, F.col("o_orderkey") % 37
