@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, collocations, decontam, gifmedia, langid, mixing, prefixtrie, secrets, simhash, sql, tokencount, tokenfiles, toxicity
 from .common import table
@@ -33,7 +34,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    two = F.col("id")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), two.alias("turn"), F.when(two == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.report(chat.format_conversations(turns.unionByName(probe)))
 
 

@@ -17,6 +17,8 @@ back to the paths can be split by Spark; columns besides id and text are ignored
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,33 +68,53 @@ def joined(spans: Column) -> Column:
 
 
 class BlobLedger:
-    """Scanned pairs of blob and rule version at ``path``, a folder that all executors share."""
+    """Scanned pairs of blob and rule version at ``path``, a folder that all executors share.
+
+    The folder need not exist yet, and outlasts the session: a ledger opened there later
+    scans only what is new. Each scan is a batch folder of its own, ``batch=<number>-<id>``;
+    a folder counts once its job has committed, so a scan that fails leaves nothing behind,
+    and a blob that two sessions scan at one time counts once.
+    """
 
     SCHEMA = f"blob string, rule_version string, spans {SPANS}"
 
     def __init__(self, spark: SparkSession, path: str | None = None, rule_version: str = RULE_VERSION):
         self.spark, self.rule_version = spark, rule_version
         self.path = path or fresh_path(spark, "blob-ledger")
-        self.batches = [self.path] if path else []
+
+    def _committed(self) -> list[str]:
+        """Batch folders with the mark that Spark's writer leaves when its job is done."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/_SUCCESS"))
+        return sorted(f.getPath().getParent().toString() for f in found or [])
 
     def rows(self) -> DataFrame:
-        if not self.batches:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        """A row for each scanned pair; a pair of two batches is two rows."""
+        folders = self._committed()
+        if not folders:
+            return self.spark.range(0).select(F.lit("").alias("blob"), F.lit("").alias("rule_version"), F.array().cast(SPANS).alias("spans"))
+        return self.spark.read.schema(self.SCHEMA).parquet(*folders)
 
     def scan(self, paths: DataFrame) -> int:
-        """Scan the blobs of ``paths`` (path, blob, text) that the ledger lacks; returns how many."""
-        known = self.rows().where(F.col("rule_version") == self.rule_version).select("blob")
-        copies = paths.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("n"))
-        unseen = copies.join(known, "blob", "left_anti") if self.batches else copies
-        # the copy with the least path (null where no row has one) stands for the blob: the join deals texts out by blob and path, not by blob
-        own, other = paths.alias("own"), unseen.select("blob", "path").alias("other")
-        texts = own.join(other, (F.col("own.blob") == F.col("other.blob")) & F.col("own.path").eqNullSafe(F.col("other.path")), "left_semi")
+        """Scan the blobs of ``paths`` (path, blob, text) that the ledger lacks; returns how many.
+
+        One text of each blob is scanned, whatever number of rows holds it: equal texts merge
+        in each task before the shuffle. Once the ledger has rows, the unseen blobs are found
+        on names alone, each with its least path, and only texts of those pairs are merged.
+        """
+        texts = paths
+        if self._committed():
+            known = self.rows().where(F.col("rule_version") == self.rule_version).select("blob")
+            unseen = paths.groupBy("blob").agg(F.min("path").alias("path")).join(known, "blob", "left_anti")
+            # null where no row of the blob has a path; dealt out by blob and path, so copies under many paths do not meet
+            own, other = paths.alias("own"), unseen.alias("other")
+            texts = own.join(other, (F.col("own.blob") == F.col("other.blob")) & F.col("own.path").eqNullSafe(F.col("other.path")), "left_semi")
+        texts = texts.groupBy("blob").agg(F.first("text").alias("text"))
         found = texts.select("blob", F.lit(self.rule_version).alias("rule_version"), found_spans(F.col("text")).alias("spans"))
-        before = self.rows().count() if self.batches else 0
-        found.write.mode("append").parquet(self.path)
-        self.batches.append(self.path)
-        return self.rows().count() - before
+        batch = f"{self.path}/batch={len(self._committed()):06d}-{uuid.uuid4().hex}"
+        found.write.parquet(batch)
+        return self.spark.read.schema(self.SCHEMA).parquet(batch).count()
 
     def spans_by_blob(self, least: int = 0) -> DataFrame:
         """(blob, spans) of every scanned blob with ``least`` spans or more, a row each.
@@ -101,7 +123,7 @@ class BlobLedger:
         can split a blob of many paths, or broadcast the table where its size allows.
         """
         own = self.rows().where((F.col("rule_version") == self.rule_version) & (F.size("spans") >= least))
-        return stored(own.groupBy("blob").agg(F.max("spans").alias("spans")), "spans-by-blob")  # a batch that ran twice counts once
+        return stored(own.groupBy("blob").agg(F.max("spans").alias("spans")), "spans-by-blob")
 
     def findings(self, paths: DataFrame) -> DataFrame:
         """(path, blob, spans) of every path whose blob was scanned."""

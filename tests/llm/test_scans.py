@@ -60,11 +60,33 @@ def test_ledger_scans_only_what_is_new(spark, leaky, tmp_path):
     more = first.unionByName(spark.createDataFrame([(999, "token=abcdefghijklmn")], "path long, text string").withColumn("blob", F.sha2("text", 256)).select("path", "blob", "text"))
     assert ledger.scan(more) == 1
     assert ledger.findings(more).count() == more.count()
-    newer = secrets.BlobLedger(spark, rule_version="2099.1")
-    newer.path, newer.batches = ledger.path, ledger.batches
+    newer = secrets.BlobLedger(spark, ledger.path, "2099.1")
     assert newer.scan(more) == more.select("blob").distinct().count()
 
 
+def test_ledger_scans_one_text_of_a_blob(spark, tmp_path):
+    rows = [(1, "token=abcdefghijklmn")] * 50 + [(2, "other")] + [(None, "password=abcdefghijkl")] * 30 + [(k, "under many paths") for k in range(40)]
+    paths = secrets.blobs(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    ledger = secrets.BlobLedger(spark, f"file://{tmp_path}/new/ledger")  # nothing is there yet
+    assert ledger.rows().count() == 0
+    assert ledger.scan(paths) == 4 and ledger.rows().count() == 4
+    assert ledger.findings(paths).count() == len(rows)
+    # another session opens the same ledger, and adds to it
+    other = secrets.BlobLedger(spark.newSession(), f"file://{tmp_path}/new/ledger")
+    more = secrets.blobs(spark.createDataFrame([*rows, (None, "fresh"), (None, "fresh"), (3, "fresh")], "doc_id long, text string"))
+    assert other.scan(more) == 1 and other.scan(more) == 0 and ledger.scan(more) == 0
+    assert ledger.findings(more).count() == len(rows) + 3
+    # what a lost job left behind does not count
+    (tmp_path / "new/ledger/batch=000099-lost").mkdir()
+    assert ledger.rows().count() == 5
+
+
+def test_masked_repeats(spark):
+    rows = [(1, "token=abcdefghijklmn x")] * 20 + [(None, "token=abcdefghijklmn x")] * 3 + [(2, None), (3, "")]
+    out = secrets.masked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and sum(r["text"] == "[SECRET] x" for r in out) == 23
+
+
 def test_masking(spark, leaky):
     out = secrets.masked(leaky)
     assert out.columns == leaky.columns and out.count() == leaky.count()
