@@ -20,7 +20,8 @@ on whole texts.
 
 Edge cases: a null or empty text is the end id alone; rows without doc_id stand
 before all others; repeated doc_ids stand side by side, ordered by a hash of their
-text, and may lie in several parts; an empty table gives no parts.
+text, and may lie in several parts, as may rows alike in doc_id and text that different
+tasks read; an empty table gives no parts.
 """
 
 from __future__ import annotations
@@ -78,8 +79,10 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, parts: in
                 stream.close()
             yield pa.RecordBatch.from_pydict({"part": [name], "n_docs": [n_docs], "n_ids": [at], "wide": [wide], "before": [0], "number": pa.array([number], pa.int32()), "n_null": [n_null]})
 
-    keys = ["doc_id", text_hash()]
-    placed = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # rows alike in doc_id and text may change places, so those of different tasks are told apart: a hot one is dealt to several parts
+    rows = rows.withColumn("task", F.spark_partition_id())
+    keys = ["doc_id", text_hash(), "task"]
+    placed = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("task")
     done = sorted(in_batches(placed, run, MANIFEST).collect(), key=lambda r: r["number"])  # one row a part
     before = accumulate((r["n_ids"] for r in done), initial=0)
     manifest = [tuple((r.asDict() | {"before": base}).values()) for r, base in zip(done, before)]

@@ -6,12 +6,14 @@ logistic s and rising t_k. The expected severity is the sum of P(grade > k) over
 
 The model is fitted on the driver on at most ``MAX_TRAIN`` labelled rows, drawn by a
 hash of the id. Features of fewer than ``MIN_DOCS`` of these rows, or that occur about as
-often in clean ones (``LEAST_CHI2``), have no weight; they are counted in Spark, and only
+often in clean ones (``least_chi2``), have no weight; they are counted in Spark, and only
 the ``MAX_FEATURES`` with the greatest chi-square, and the rows' shares of these, come to
-the driver. Scoring runs over all rows and whole texts.
+the driver. ``MAX_FEATURES`` and ``MAX_MARKS`` bound the model, as ``MAX_TRAIN`` bounds its
+rows: words beyond them, by rank, have no weight. Fewer than 12 labelled rows prove nothing
+about any word, so every text then has the severity of the intercept. Scoring runs over all rows and whole texts.
 
 Edge cases: null, empty and wordless texts have no features and get the severity of the
-intercept; null labels are not learnt from, nor are rows without doc_id; a repeated
+intercept, which never counts as toxic; null labels are not learnt from, nor are rows without doc_id; a repeated
 doc_id is learnt from once, with its least text; labels that contradict each other both
 count; without labelled rows every severity is 0; scoring gives one row for each row.
 """
@@ -35,6 +37,9 @@ MAX_MARKS = 200
 STEMS = (4, 5, 6, 7)
 #: Words whose chi-square against the grade is lower carry no weight: long texts hold many that are noise.
 LEAST_CHI2 = 40.0
+#: With few labelled rows a word that parts them perfectly has a chi-square of their number less one, so the limit is
+#: a share of their number there, and never below the value that one word in a thousand reaches by chance.
+SHARE_OF_ROWS, BY_CHANCE = 0.6, 10.83
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if 97 <= b <= 122 or 65 <= b <= 90 or b >= 128 else 32 for b in range(256))
 
 
@@ -97,7 +102,7 @@ def fit(train: DataFrame, grades: int, steps: int = 300, penalty: float = 1e-4)
     each = rows.select("row", "grade", F.explode("words").alias("word"))
     seen = each.groupBy("word").agg(F.count("*").alias("seen"), F.count_if(F.col("grade") > 0).alias("marked"))
     score = association(F.col("seen"), F.col("marked"), len(grade), int((grade > 0).sum()))
-    kept = seen.where((F.col("seen") >= MIN_DOCS) & (score >= LEAST_CHI2)).orderBy(score.desc(), "word").limit(MAX_FEATURES).select("word")
+    kept = seen.where((F.col("seen") >= MIN_DOCS) & (score >= least_chi2(len(grade)))).orderBy(score.desc(), "word").limit(MAX_FEATURES).select("word")
     shares = each.join(F.broadcast(kept), "word").select("row", "word").toArrow()
     owner = np.searchsorted(number, shares.column("row").to_numpy())
     keys, word = np.unique(shares.column("word").to_numpy(), return_inverse=True)
@@ -105,6 +110,11 @@ def fit(train: DataFrame, grades: int, steps: int = 300, penalty: float = 1e-4)
     return _descend(owner[order], word[order], keys, grade, grades, steps, penalty)
 
 
+def least_chi2(n: int) -> float:
+    """The chi-square that a word must reach among ``n`` labelled rows."""
+    return min(LEAST_CHI2, max(BY_CHANCE, SHARE_OF_ROWS * n))
+
+
 def association(seen: Column, marked: Column, n: int, positive: int) -> Column:
     """Chi-square of a feature against grade > 0, from its texts and those of them that are graded."""
     expected = seen * (positive / n)
@@ -138,7 +148,8 @@ def _descend(owner: np.ndarray, word: np.ndarray, keys: np.ndarray, grade: np.nd
     model = Ordinal(keys[keep], w[keep], t, 0.5)
     score = np.bincount(owner, np.where(keep, w, 0.0)[word], n)
     severity = (1 / (1 + np.exp(-np.clip(score[:, None] - t, -40, 40)))).sum(axis=1)
-    model.cut = _best_cut(severity, grade > 0)
+    none = float(model.severities([[]])[0])
+    model.cut = max(_best_cut(severity, grade > 0), none + 1e-5)  # a text without any sign is not toxic
     return model
 
 

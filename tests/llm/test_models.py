@@ -390,3 +390,23 @@ def test_media_and_language_with_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "text here", "a", "b", "c", "d")], "doc_id long, text string, media string, n_bytes string, lang_pred string, score string")
     assert gifmedia.report(gifmedia.from_media(gifmedia.to_media(rows))).first()["n_bytes"] == 9
     assert langid.predict(rows, {"en": np.ones(langid.DIMENSIONS)}).first()["lang_pred"] == "en"
+
+
+@pytest.mark.parametrize("n,found", [(0, 0), (1, 0), (10, 0), (40, 1), (48, 1), (400, 1)])
+def test_few_labels(spark, n, found):
+    """One word parts the rows perfectly, one in four toxic: from a few dozen rows on it is learnt."""
+    rows = [(i, f"{'vile' if i % 4 == 0 else 'kind'} text of number n{i}", int(i % 4 == 0)) for i in range(n)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.severity_labels(docs, labels), grades=4)
+    new = spark.createDataFrame([(1, "a vile one"), (2, "a kind one"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.grade_severity(new, model).collect()}
+    assert got == {1: bool(found), 2: False, 3: False}
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_labels_of_one_class(spark, toxic):
+    docs = spark.createDataFrame([(i, f"some words w{i % 5}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic) for i in range(60)], "doc_id long, toxic int")
+    rows = toxicity.grade_severity(docs, toxicity.fit(toxicity.severity_labels(docs, labels), grades=4)).collect()
+    assert len(rows) == 60 and len({(r["severity"], r["toxic"]) for r in rows}) == 1

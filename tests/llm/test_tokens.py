@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quaylark.llm import bpe, tokencount, tokenfiles
+from quaylark.llm import bpe, queries, tokencount, tokenfiles
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = list("abcABC  '\n\t.,!?019éÉßΣσİıǅ½²٣中日한 \x85\x1ćè😀👍🏽<|>") + ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "  ", "\n\n", "'s", "'S", "'ll", "Ⅷ", "ﬁ", "ſ", "aaaa"]
@@ -168,3 +169,13 @@ def test_long_chunks_empty_the_store(monkeypatch):
     with bpe.task_codec(path) as kept:
         kept.encode(texts)
     assert not kept.seen and not len(kept.flat_ids)
+
+
+def test_equal_rows_lie_in_several_parts(spark, tmp_path):
+    path = public_tokenizers.path(queries.WORD_VOCABULARY)
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one and the same").alias("text")).repartition(12)
+    parts = tokenfiles.write_tokens(df, path, f"file://{tmp_path}/hot", 2, 8)
+    assert sum(p[1] for p in parts) == 3000 and len(parts) >= 6 and max(p[1] for p in parts) <= 1000
+    rows = tokenfiles.read_tokens(spark, f"file://{tmp_path}/hot").collect()
+    size = rows[0]["n_tokens"]
+    assert sorted(r["start"] for r in rows) == list(range(0, 3000 * size, size)) and len({r["ids_crc32"] for r in rows}) == 1
