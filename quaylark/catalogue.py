@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import checks, cycles, geo, pay, reads, relations, scalars, search, sourcing, texts, words, writes  # noqa: F401
+from .plans import checks, cycles, geo, indexed, pay, reads, relations, scalars, search, sourcing, texts, words, writes  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
