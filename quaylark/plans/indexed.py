@@ -35,8 +35,8 @@ def txt_02_near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH i AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM part),
 s AS (SELECT DISTINCT left(p_name, 2) || substr(p_name, 4) AS search FROM part WHERE p_partkey % 20 = 0),
-w AS (SELECT search, unnest(string_split(search, ' ')) AS word, generate_subscripts(string_split(search, ' '), 1) AS at FROM s),
-h AS (SELECT search, p_partkey, at, min(CASE WHEN starts_with(token, word) THEN 0 ELSE 1 END) AS edits, max((token = word)::INTEGER) AS exact FROM w, i
+w AS (SELECT search, unnest(string_split(search, ' ')) AS word, generate_subscripts(string_split(search, ' '), 1) AS pos FROM s),
+h AS (SELECT search, p_partkey, pos, min(CASE WHEN starts_with(token, word) THEN 0 ELSE 1 END) AS edits, max((token = word)::INTEGER) AS exact FROM w, i
  WHERE word <> '' AND (starts_with(token, word) OR (length(word) >= 4 AND levenshtein(token, word) <= 1)) GROUP BY 1, 2, 3)
 SELECT search, p_partkey, count(*) AS matched, sum(edits)::BIGINT AS edits, sum(exact)::BIGINT AS exact FROM h GROUP BY 1, 2""")
 def txt_01_search_table(spark: SparkSession, sf_dir: str) -> DataFrame:

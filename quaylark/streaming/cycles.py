@@ -48,11 +48,14 @@ def board_states(events: DataFrame, key: str, order: str, outcome: str) -> DataF
 
 
 def diff_batches(found: DataFrame, stored: Callable[[SparkSession], DataFrame], sink: str, checkpoint: str) -> DataStreamWriter:
-    """Every micro-batch diffed against what is stored then; actions are appended with their batch."""
+    """Every micro-batch diffed against what is stored then; the actions of batch N are the folder ``sink/batch=N``.
+
+    A batch that Spark replays overwrites its own folder, so no action counts twice.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         actions = diff(batch.select("url", "board_id"), stored(batch.sparkSession))
-        actions.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        actions.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
