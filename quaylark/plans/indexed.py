@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, searchindex, textsearch
+from ..operators import intervals, searchindex, textsearch, typeahead
 from ..registry import query
 from ..storage import fresh_path, stored
 from ..tables import table
@@ -47,6 +47,20 @@ def txt_01_search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searchindex.answers(searches, "search", index)
 
 
+@query("""
+WITH f AS (SELECT p_partkey AS key, p_name AS name, (p_size + CASE WHEN p_brand LIKE 'Brand#1%' THEN 100 ELSE 0 END)::DOUBLE AS weight FROM part WHERE p_type NOT LIKE 'PROMO%'),
+w AS (SELECT key, name, weight, unnest(string_split(name, ' ')) AS t FROM f), p AS (SELECT DISTINCT key, name, weight, left(t, unnest(range(1, least(length(t), 8) + 1))::INTEGER) AS prefix FROM w WHERE t <> '')
+SELECT prefix, place::INTEGER AS place, key, name, weight FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY starts_with(name, prefix) DESC, weight DESC, key) AS place FROM p) WHERE place <= 10""")
+def txt_07_typeahead_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-03/07/09/11: best ten names of each prefix, after a slice that takes some names out and moves others up."""
+    part = table(spark, sf_dir, "part")
+    index = typeahead.build(part, "p_partkey", "p_name", "p_size", fresh_path(spark, "typeahead"))
+    out, up = F.col("p_type").startswith("PROMO"), F.col("p_brand").startswith("Brand#1")
+    slice_ = part.where(out | up).withColumns({"out": out, "p_size": F.col("p_size") + F.when(up, 100).otherwise(0)})
+    typeahead.apply(index, slice_, "p_partkey", "p_name", "p_size", F.col("out"))
+    return typeahead.lists(spark, index)
+
+
 @query(_CLOSURE + """, d AS (SELECT id, max(depth) AS depth FROM up GROUP BY id), n AS (SELECT ancestor_id AS id, count(*) AS size FROM up GROUP BY 1)
 SELECT id, depth::INTEGER AS depth, size FROM d JOIN n USING (id)""")
 def hie_07_interval_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quaylark.operators import intervals, searchindex, textsearch
+from quaylark.operators import intervals, searchindex, textsearch, typeahead
 from quaylark.storage import stored
 
 
@@ -96,3 +96,56 @@ def test_a_subtree_is_one_range_in_the_scan(spark):
     assert intervals.subtree(labels, -1).count() == 0
     roots = spark.createDataFrame([(45,), (45,), (0,)], "id long")
     assert {tuple(r) for r in intervals.subtrees(labels, roots).collect()} == {(i, intervals.subtree(labels, i).count()) for i in (0, 45)}
+
+
+def best(state, typed, k):
+    hits = [(not n.lower().startswith(typed), -(-1e9 if w is None else w), key) for key, (n, w) in state.items() if n and any(t.startswith(typed) for t in n.lower().split())]
+    return [key for _, _, key in sorted(hits)[:k]]
+
+
+def test_typeahead_follows_inserts_moves_and_removals(spark, tmp_path):
+    rnd = random.Random(3)
+    name = lambda: " ".join(rnd.choice(["Ana", "anabel", "Anna", "bar", "baring", "longestwordsever", "longestwordsonce", "C++"]) for _ in range(rnd.randint(1, 3)))
+    state = {i: (name(), rnd.choice([None, 1.0, 2.0, 3.0])) for i in range(60)} | {60: (None, 1.0), 61: ("", 1.0)}
+    schema = "id long, name string, weight double, prefix string, gone boolean"
+    frame = lambda rows: spark.createDataFrame([(i, n, w, "x", g) for i, n, w, g in rows], schema)
+    index = typeahead.build(frame([(i, *v, False) for i, v in state.items()] + [(None, "ana", 9.0, False)]), "id", "name", "weight", str(tmp_path / "t"), k=3, buckets=4)
+
+    def same():
+        got = {}
+        for r in typeahead.lists(spark, index).orderBy("prefix", "place").collect():
+            got.setdefault(r["prefix"], []).append(r["key"])
+        prefixes = {t[:n] for v in state.values() for t in (v[0] or "").lower().split() for n in range(1, min(len(t), typeahead.LONGEST) + 1)}
+        assert got == {p: best(state, p, 3) for p in prefixes}
+
+    same()
+    for step in range(2):
+        top = [best(state, "an", 3)[0], best(state, "ba", 3)[0]]  # the lists must fill up again
+        rows = [(i, None, None, True) for i in top] + [(i, name(), 5.0 + step, False) for i in (7, 100 + step) if i not in top] + [(999, "x", None, True)]
+        typeahead.apply(index, frame(rows + rows), "id", "name", "weight", F.col("gone"))
+        for i, n, w, gone in rows:
+            state.pop(i, None) if gone else state.update({i: (n, w)})
+        same()
+    assert [r["key"] for r in typeahead.suggest(spark, index, "LONGESTWORDSO").collect()] == best(state, "longestwordso", 3)
+    assert [r["key"] for r in typeahead.suggest(spark, index, "an").collect()] == best(state, "an", 3)
+    assert typeahead.suggest(spark, index, "").count() == 0
+    before = typeahead.lists(spark, index).collect()
+    assert typeahead.apply(index, frame([]), "id", "name", "weight", F.col("gone")) == 3
+    assert sorted(typeahead.lists(spark, index).collect()) == sorted(before)
+
+
+def test_a_suggestion_reads_one_bucket(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"name{i} word", i * 1.0) for i in range(50)], "id long, name string, weight double")
+    index = typeahead.build(rows, "id", "name", "weight", str(tmp_path / "t"), buckets=8)
+    found = typeahead.suggest(spark, index, "word")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "/entries" not in plan
+    assert [r["key"] for r in found.collect()] == list(range(49, 39, -1))
+
+
+def test_typeahead_of_an_empty_table(spark, tmp_path):
+    rows = spark.createDataFrame([], "id string, name string, weight double, gone boolean")
+    index = typeahead.build(rows, "id", "name", "weight", str(tmp_path / "t"), buckets=2)
+    assert typeahead.lists(spark, index).count() == 0
+    typeahead.apply(index, spark.createDataFrame([("a", "Ana", None, None)], rows.schema), "id", "name", "weight", F.col("gone"))
+    assert [tuple(r) for r in typeahead.suggest(spark, index, "an").collect()] == [(1, "a", "Ana", None)]
