@@ -26,6 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .textsearch import inverted_index, tokens
 
 BUCKETS = 64
@@ -74,8 +75,8 @@ def build(docs: DataFrame, key: str, text: str, path: str, buckets: int = BUCKET
     spark = docs.sparkSession
     index = SearchIndex(path, key, docs.schema[key].dataType.simpleString(), buckets)
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    _write(inverted_index(named, "key", "text").distinct(), "token", index, "postings", "key")
-    words = index.rows(spark, "postings", "token", "key", index.key_type).select("token").distinct()
+    _write(inverted_index(named, "key", "text"), "token", index, "postings", "key")
+    words = stored(index.rows(spark, "postings", "token", "key", index.key_type).select("token").distinct(), "index-words")
     first = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(LONGEST_PREFIX)))
     _write(words.select(F.explode(F.transform(first, lambda n: F.left(F.col("token"), n))).alias("prefix"), "token"), "prefix", index, "prefixes", "token")
     _write(words.select(F.explode(variants(F.col("token"))).alias("variant"), "token"), "variant", index, "neighbours", "token")
@@ -89,9 +90,25 @@ def _met(words: DataFrame, key: str, index: SearchIndex, part: str, value: str,
 
 def near(words: DataFrame, index: SearchIndex) -> DataFrame:
     """(word, token, edits): the index's tokens within one edit of each distinct ``word``; edits is 0 or 1."""
-    keyed = words.select("word").where(F.length("word") > 0).distinct().select("word", F.explode(variants(F.col("word"))).alias("variant"))
-    pairs = _met(keyed, "variant", index, "neighbours", "token").select("word", "token", F.levenshtein("word", "token", 1).alias("edits"))
-    return pairs.where("edits >= 0").distinct()
+    return _within_one(_met(_keyed(words, "word"), "variant", index, "neighbours", "token"))
+
+
+def near_all(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``near`` for so many words that most of an index would be read: both sides meet by their variants once, and nothing is stored.
+
+    ``words`` is (word), ``vocabulary`` (token); repeated, null and empty ones count once or not at all.
+    """
+    return _within_one(_keyed(words, "word").join(_keyed(vocabulary, "token"), "variant"))
+
+
+def _keyed(words: DataFrame, name: str) -> DataFrame:
+    """(name, variant) of distinct words."""
+    return words.select(name).where(F.length(name) > 0).distinct().select(name, F.explode(variants(F.col(name))).alias("variant"))
+
+
+def _within_one(pairs: DataFrame) -> DataFrame:
+    """Candidates, which may share several variants, within one edit: (word, token, edits) once each."""
+    return pairs.select("word", "token", F.levenshtein("word", "token", 1).alias("edits")).where("edits >= 0").distinct()
 
 
 def starting(words: DataFrame, index: SearchIndex) -> DataFrame:

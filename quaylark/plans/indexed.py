@@ -27,9 +27,9 @@ SELECT w AS word, t AS token, CASE WHEN w = t THEN 0 ELSE 1 END AS edits FROM c
 def txt_02_near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-02: words of every twentieth document against the words of all documents, within one edit."""
     docs = table(spark, sf_dir, "documents")
-    index = searchindex.build(docs, "doc_id", "text", fresh_path(spark, "search-index"))
-    words = docs.where("doc_id % 20 = 0").select(F.explode(textsearch.tokens(F.col("text"))).alias("word"))
-    return searchindex.near(words.where(F.length("word") >= searchindex.LEAST_FUZZY), index)
+    words = lambda rows, name: rows.select(F.explode(F.array_distinct(textsearch.tokens(F.col("text")))).alias(name))
+    asked = words(docs.where("doc_id % 20 = 0"), "word").where(F.length("word") >= searchindex.LEAST_FUZZY)
+    return searchindex.near_all(asked, words(docs, "token"))
 
 
 @query("""

@@ -26,8 +26,12 @@ def test_near_words_equal_levenshtein_over_all_pairs(spark, tmp_path):
         words |= {long, long[1:], long[:-1], long[:7] + "x" + long[8:], long[:-3] + "z" + long[-2:], long[: n // 2] + "y" + long[n // 2 :], "x" + long[1:-1] + "x"}
     docs = spark.createDataFrame([(i, w) for i, w in enumerate(sorted(words))], "id long, name string")
     index = searchindex.build(docs, "id", "name", str(tmp_path / "i"), buckets=4)
-    got = {tuple(r) for r in searchindex.near(docs.select(F.col("name").alias("word")), index).collect()}
-    assert got == {(a, b, distance(a, b)) for a in words for b in words if abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1}
+    want = {(a, b, distance(a, b)) for a in words for b in words if abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1}
+    asked = docs.select(F.col("name").alias("word"))
+    assert {tuple(r) for r in searchindex.near(asked, index).collect()} == want
+    odd = spark.createDataFrame([(None,), ("",), (min(words),)], "token string")
+    pairs = [tuple(r) for r in searchindex.near_all(asked, odd.unionByName(docs.select(F.col("name").alias("token")))).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
 
 
 def test_a_table_of_searches_scores_as_one_search(spark, sf_dir, tmp_path):
