@@ -1,15 +1,15 @@
-"""Queries that read stored indexes: searches by equi-joins, typeahead lists, subtrees by ranges."""
+"""Queries that read stored indexes: searches by equi-joins, typeahead lists, subtrees by ranges, digest trees."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, searchindex, textsearch, typeahead
+from ..operators import digesttree, intervals, searchindex, textsearch, typeahead
 from ..registry import query
 from ..storage import fresh_path, stored
-from ..tables import table
-from .relations import _CLOSURE, _edges
+from ..tables import POSTINGS, postings, table
+from .relations import _CLOSURE, _edges, _remote
 
 _WORDS = r"list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}+#.]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
@@ -72,3 +72,28 @@ def hie_07_interval_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hie_08_interval_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HIE-01/08: everything below a node as one range of stored labels."""
     return intervals.subtree(stored(intervals.labelled(_edges(spark, sf_dir)), "tree-intervals"), 1002).select("id")
+
+
+@query(f"""
+WITH l AS (SELECT id, is_active, status || seniority AS f FROM {POSTINGS}),
+r AS (SELECT CASE WHEN id % 97 = 0 THEN id + 100000000 ELSE id END AS id, CASE WHEN id % 13 = 0 THEN NOT is_active ELSE is_active END AS is_active, CASE WHEN id % 17 = 0 THEN 'x' ELSE status || seniority END AS f FROM {POSTINGS})
+SELECT coalesce(l.id, r.id) AS key, left(sha256(coalesce(l.id, r.id)::VARCHAR), 4) AS leaf, CASE WHEN l.id IS NULL THEN 'delete' ELSE 'upsert' END AS action
+FROM l FULL OUTER JOIN r ON l.id = r.id WHERE l.id IS NULL OR r.id IS NULL OR l.is_active <> r.is_active OR l.f <> r.f""")
+def str_21_digest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-21: repairs of a stored mirror, found by digests of branches, then leaves, then rows."""
+    local = postings(spark, sf_dir).select("id", "is_active", F.concat("status", "seniority").alias("fingerprint"))
+    source = digesttree.build(local, "id", fresh_path(spark, "digests-source"))
+    return digesttree.differences(spark, source, digesttree.build(_remote(spark, sf_dir), "id", fresh_path(spark, "digests-target")))
+
+
+@query(f"SELECT id, status, seniority FROM {POSTINGS}")
+def str_21_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-21/22: a mirror that lost, gained and changed rows, after two runs of a cycle over all its branches."""
+    local = postings(spark, sf_dir).select("id", "status", "seniority")
+    i = F.col("id")
+    old = local.select(F.when(i % 97 == 0, -i).otherwise(i).alias("id"), F.when(i % 17 == 0, "x").otherwise(F.col("status")).alias("status"), "seniority")
+    source, target = digesttree.build(local, "id", fresh_path(spark, "digests-source")), digesttree.build(old, "id", fresh_path(spark, "digests-target"))
+    book = fresh_path(spark, "digests-book")
+    for _ in range(2):
+        digesttree.run(spark, source, target, book, most=128)
+    return digesttree.rows_of(spark, target)
