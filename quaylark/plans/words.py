@@ -268,6 +268,13 @@ def fn_44_board_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", S.board_url(raw).alias("url"))
 
 
+@query()
+def fn_44_word_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-44: every distinct word of letters in any document as a host, those beyond ASCII in Punycode."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", S.ascii_host(F.concat("word", F.lit(".example"))).alias("host"))
+
+
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'hostpath:boards.x.io/acme' || page_id WHEN 1 THEN 'hostpath:x.com/co' || page_id WHEN 2 THEN 'host:' || page_id || '.x.org' END AS tenant FROM pages""")
 def fn_45_tenant_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-45: what names a tenant in URLs of each family."""

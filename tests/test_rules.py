@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quaylark import catalogue
 from quaylark.functions import experience, places, salary, scalars, spans
 from quaylark.operators import hierarchy, ingest
 from quaylark.sources import readers
@@ -142,6 +143,64 @@ def test_buckets_fill_in_order(spark):
     assert got == {("s", "a"): 1, ("s", "b"): 1, ("s", "c"): 2, ("s", "d"): 3, ("s", "e"): 4, ("s", "f"): 4, ("t", "x"): 1}
 
 
+HOSTS = {
+    "München.de": "xn--mnchen-3ya.de",
+    "bücher.example.": "xn--bcher-kva.example",
+    "straße.de": "strasse.de",
+    "例え.テスト": "xn--r8jz45g.xn--zckzah",
+    "例え。テスト": "xn--r8jz45g.xn--zckzah",
+    "ÅNGSTRÖM.se": "xn--ngstrm-hua5l.se",
+    "пример.испытание": "xn--e1afmkfd.xn--80akhbyknj4f",
+    "A.B-c.ORG": "a.b-c.org",
+    "a" * 63 + ".org": "a" * 63 + ".org",
+    "a" * 64 + ".org": None,
+    "ü" * 70 + ".org": None,
+    "a..org": None,
+    "ü..org": None,
+    "": None,
+    None: None,
+}
+
+
+def plain_punycode(label: str) -> str:
+    """RFC 3492 by its own words: code points from the least on, each as a run of generalised integers."""
+    out, n, delta, bias = [c for c in label if ord(c) < 128], 128, 0, 72
+    basic = done = len(out)
+    digits = "abcdefghijklmnopqrstuvwxyz0123456789"
+    if basic:
+        out.append("-")
+    while done < len(label):
+        m = min(ord(c) for c in label if ord(c) >= n)
+        delta, n = delta + (m - n) * (done + 1), m
+        for c in label:
+            delta += ord(c) < n
+            if ord(c) == n:
+                q, k = delta, 36
+                while q >= (t := min(max(k - bias, 1), 26)):
+                    out.append(digits[t + (q - t) % (36 - t)])
+                    q, k = (q - t) // (36 - t), k + 36
+                out.append(digits[q])
+                delta = delta // 700 if done == basic else delta // 2
+                delta += delta // (done + 1)
+                k = 0
+                while delta > 455:
+                    delta, k = delta // 35, k + 36
+                bias, delta, done = k + 36 * delta // (delta + 38), 0, done + 1
+        delta, n = delta + 1, n + 1
+    return "".join(out)
+
+
+def test_hosts_beyond_ascii(spark, sf_dir):
+    df = spark.createDataFrame(list(HOSTS.items()), "raw string, want string").repartition(3)
+    assert [tuple(r) for r in df.withColumn("got", scalars.ascii_host(F.col("raw"))).where("NOT (got <=> want)").collect()] == []
+    url = spark.createDataFrame([("https://Bücher.example:443/Stellen/?utm_a=1",)], "u string").select(scalars.board_url(F.col("u")).alias("u"))
+    assert url.first()["u"] == "https://xn--bcher-kva.example/Stellen"
+    beyond = [r for r in catalogue.queries()["fn_44_word_hosts"](spark, sf_dir).collect() if not r["word"].isascii()]
+    assert len(beyond) > 5
+    for r in beyond:
+        assert "ß" in r["word"] or r["host"] == f"xn--{plain_punycode(r['word'].lower())}.example"
+
+
 def test_urls(spark):
     rows = [("HTTP://Jobs.Example.COM.:80/a/?b=2&a=1&utm_x=1#t", "https://jobs.example.com/a?a=1&b=2"), ("https://x.org", "https://x.org/"), ("https://u:p@x.org/", None), ("ftp://x.org/", None), ("", None), (None, None), ("https://x.org:8443//", "https://x.org:8443/")]
     df = spark.createDataFrame(rows, "raw string, want string")
