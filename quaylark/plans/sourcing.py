@@ -6,16 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources import readers
+from ..sources import pagesource, readers
 from ..tables import table
 
 
-@query(r"""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*["'']([^"''#][^"'']*)["'']', 1), lambda u: replace(u, '&amp;', '&')))) AS link FROM pages""")
+_LINKS = r"""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*["'']([^"''#][^"'']*)["'']', 1), lambda u: replace(u, '&amp;', '&')))) AS link FROM pages"""
+
+
+@query(_LINKS)
 def src_15_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-15: links of pages."""
     return table(spark, sf_dir, "pages").select("page_id", F.explode(readers.links(F.col("html"))).alias("link"))
 
 
+@query(_LINKS)
+def src_21_registered_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-21: the registered source of stored pages, with the monitor that takes links."""
+    pagesource.register(spark)
+    return spark.read.format(pagesource.NAME).options(path=f"{sf_dir}/pages.parquet", monitor="links").load()
+
+
 @query("SELECT event_id, TRY_CAST(value AS INTEGER) AS value, TRY_CAST(event_type AS BIGINT) AS event_type FROM (SELECT event_id, floor(value) AS value, event_type FROM events)")
 def src_04_lenient_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-04: projection with casts that give null instead of failing."""

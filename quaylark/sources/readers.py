@@ -84,9 +84,12 @@ def euro_rates(xml: Column) -> Column:
 # --- HTML --------------------------------------------------------------------------
 
 
+HREF = r"""(?i)<a\s[^>]*href\s*=\s*["']([^"'#][^"']*)["']"""
+
+
 def links(html: Column) -> Column:
     """All href values of a page, each once, entities decoded."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*href\s*=\s*["']([^"'#][^"']*)["']"""), F.lit(1))
+    found = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
     return F.array_distinct(F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))))
 
 
