@@ -10,9 +10,11 @@ neighbours also stand side by side in some item are streamed, which loses nothin
 match of two words or more never spans other neighbours.
 
 Items are cut to pieces of ``PIECE`` words that overlap by a window less one word, so that
-each window lies in a piece, and equal pieces count once. An automaton holds about
-``BLOCK_CHARS`` characters of pieces; larger test sets are dealt to blocks, one automaton
-and one pass over the rows for each; a pass adds its hits to those of the passes before.
+each window lies in a piece, and equal pieces count once: the automaton knows a piece by its
+SHA-256 only, and which items hold it is joined to the texts that were hit, once for each
+distinct set of pieces. An automaton holds about ``BLOCK_CHARS`` characters of pieces; larger
+test sets are dealt to blocks, one automaton and one pass over the rows for each; a pass adds
+its hits to those of the passes before.
 
 Edge cases: null, empty and wordless texts have no words and no hits; wordless items
 never occur; repeated items each count; items with a null item_id count under an
@@ -28,7 +30,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, in_batches, slices, stored, texts_of
@@ -199,17 +201,38 @@ def pieces_of(items: DataFrame, id_col: str, text_col: str, window: int, piece:
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, block_chars: int, window: int = WINDOW, piece: int = PIECE) -> tuple[int, Iterator[list[tuple[str, str]]]]:
-    """How many blocks the test items make, and the blocks of (item, piece) on the driver, one after another."""
-    rows = pieces_of(items, id_col, text_col, window, piece).groupBy("piece").agg(F.array_sort(F.collect_set("item")).alias("names"))
-    rows = stored(rows, "item-pieces")
+    """How many blocks the test items make, and the blocks of (digest, piece) on the driver, one after another.
+
+    Each distinct piece stands once, however many items hold it, so a block is bounded by its characters.
+    """
+    pieces = pieces_of(items, id_col, text_col, window, piece).select("piece").distinct()
+    rows = stored(pieces.select(_digest().alias("digest"), "piece"), "item-pieces")
     chars = rows.agg(F.sum(F.length("piece"))).first()[0] or 0
     n = 1 + chars // block_chars
     own = (rows.where(F.pmod(F.xxhash64("piece"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
-    return n, ([(name, r["piece"]) for r in block.collect() for name in r["names"]] for block in own)
+    return n, ([(r["digest"], r["piece"]) for r in block.collect()] for block in own)
+
+
+def _digest() -> Column:
+    return F.sha2("piece", 256)
+
+
+def _with_items(found: DataFrame, items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """Stored rows whose ``items`` are digests of pieces, with the names of the items that hold these.
+
+    Rows without a hit pass as they are. Texts hit by the same pieces share one set, so a
+    passage that many texts hold is joined with its items once.
+    """
+    owners = pieces_of(items, id_col, text_col, window).select(_digest().alias("digest"), "item").distinct()
+    clean, hit = found.where(F.size("items") == 0), found.where(F.size("items") > 0)
+    sets = hit.select(F.col("items").alias("set")).distinct()
+    named = sets.select("set", F.explode("set").alias("digest")).join(owners, "digest").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    rows = hit.join(named, F.col("items") == F.col("set"))
+    return clean.unionByName(rows.select(*[F.col("names").alias("items") if c == "items" else F.col(c) for c in found.columns]))
 
 
 def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int, last: bool) -> DataFrame:
-    """Add the hits and items of one block to rows (doc_id, text, hits, items); the last pass gives spans for texts."""
+    """Add the hits and pieces (as ``items``) of one block to rows (doc_id, text, hits, items); the last pass gives spans for texts."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     sent = rows.sparkSession.sparkContext.broadcast(Automaton(items, window))
 
@@ -238,17 +261,16 @@ def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int, last: bool
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, hits, spans, items) of every whole text: hit words by number and as code points.
 
-    The rows pass each block of items in turn, without a join. Between two blocks they are
-    written to the shared folder, so that a worker holds one automaton at a time.
+    The rows pass each block of items in turn. After each block they are written to the shared
+    folder, so that a worker holds one automaton at a time; the texts go with the last.
     """
     none = F.array()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), none.cast("array<int>").alias("hits"), none.cast("array<string>").alias("items"))
     n, blocks = blocks_of(items, item_col, item_text, block_chars, window)
     for k, block in enumerate(blocks, 1):
         rows = _pass(rows, block, window, k == n)
-        if k < n:
-            rows = stored(rows, "items-matched")
-    return rows
+        rows = stored(rows, "items-matched")
+    return _with_items(rows, items, item_col, item_text, window)
 
 
 def report(found: DataFrame) -> DataFrame:

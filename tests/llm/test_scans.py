@@ -197,6 +197,21 @@ def test_equal_and_very_long_items_make_bounded_blocks(spark):
     assert windows == {tuple(words[i : i + 10]) for i in range(len(words) - 9)}
 
 
+def test_many_names_of_one_text(spark):
+    """100,000 equal items are one piece of the automaton; a passage of many texts is joined with its items once."""
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(PASSAGE).alias("text"))
+    items = items.unionByName(spark.createDataFrame([(-1, PASSAGE + " and a tail"), (None, "short item here"), (None, "short item here")], "item_id long, text string"))
+    n, blocks = decontam.blocks_of(items, "item_id", "text", decontam.BLOCK_CHARS)
+    block = list(blocks)[0]
+    assert n == 1 and len(block) == 3 and {name for name, _ in block} == {hashlib.sha256(p.encode()).hexdigest() for _, p in block}
+    docs = spark.range(60).select(F.when(F.col("id") > 0, F.lit(5)).alias("doc_id"), F.when(F.col("id") < 50, F.lit("x " + PASSAGE)).when(F.col("id") < 55, "a short item here").alias("text"))
+    got = decontam.report(decontam.scan(docs, items)).groupBy("doc_id", "n_words", "n_hit", "n_items", "items_sha256").count().collect()
+    all_ids = hashlib.sha256(",".join(sorted(map(str, range(-1, 100_000)))).encode()).hexdigest()
+    one, none = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
+    want = [(None, 13, 12, 100_001, all_ids, 1), (5, 13, 12, 100_001, all_ids, 49), (5, 4, 3, 1, one, 5), (5, 0, 0, 0, none, 5)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_masking_with_clashing_columns(spark):
     rows = [(1, "token=abcdefghijklmnop", "a", "b", 5), (2, None, "c", "d", None), (2, None, "c", "d", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string, _BLOB string, n_chars int")
