@@ -12,9 +12,10 @@ match of two words or more never spans other neighbours.
 Items are cut to pieces of ``PIECE`` words that overlap by a window less one word, so that
 each window lies in a piece, and equal pieces count once: the automaton knows a piece by its
 SHA-256 only, and which items hold it is joined to the texts that were hit, once for each
-distinct set of pieces. An automaton holds about ``BLOCK_CHARS`` characters of pieces; larger
-test sets are dealt to blocks, one automaton and one pass over the rows for each; a pass adds
-its hits to those of the passes before.
+distinct set of pieces. An automaton holds about ``BLOCK_CHARS`` characters of pieces. Larger
+test sets are dealt to blocks, an automaton for each; then only texts that may hold a window by
+``windowfilter`` are written to the shared folder and pass block after block, and a pass adds
+its hits to those of the passes before. The other texts are neither copied nor matched.
 
 Edge cases: null, empty and wordless texts have no words and no hits; wordless items
 never occur; repeated items each count; items with a null item_id count under an
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import windowfilter
 from .common import free_name, in_batches, slices, stored, texts_of
 
 WINDOW = 10
@@ -201,12 +203,21 @@ def pieces_of(items: DataFrame, id_col: str, text_col: str, window: int, piece:
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, block_chars: int, window: int = WINDOW, piece: int = PIECE) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """``dealt`` over ``distinct_pieces``."""
+    return dealt(distinct_pieces(items, id_col, text_col, window, piece), block_chars)
+
+
+def distinct_pieces(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """Stored rows (digest, piece)."""
+    pieces = pieces_of(items, id_col, text_col, window, piece).select("piece").distinct()
+    return stored(pieces.select(_digest().alias("digest"), "piece"), "item-pieces")
+
+
+def dealt(rows: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
     """How many blocks the test items make, and the blocks of (digest, piece) on the driver, one after another.
 
     Each distinct piece stands once, however many items hold it, so a block is bounded by its characters.
     """
-    pieces = pieces_of(items, id_col, text_col, window, piece).select("piece").distinct()
-    rows = stored(pieces.select(_digest().alias("digest"), "piece"), "item-pieces")
     chars = rows.agg(F.sum(F.length("piece"))).first()[0] or 0
     n = 1 + chars // block_chars
     own = (rows.where(F.pmod(F.xxhash64("piece"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
@@ -261,16 +272,19 @@ def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int, last: bool
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, hits, spans, items) of every whole text: hit words by number and as code points.
 
-    The rows pass each block of items in turn. After each block they are written to the shared
-    folder, so that a worker holds one automaton at a time; the texts go with the last.
+    The rows pass each block of items in turn (with several blocks, those that may hold a window).
+    After each block they are written to the shared folder, so that a worker holds one automaton
+    at a time; the texts go with the last.
     """
     none = F.array()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), none.cast("array<int>").alias("hits"), none.cast("array<string>").alias("items"))
-    n, blocks = blocks_of(items, item_col, item_text, block_chars, window)
+    pieces = distinct_pieces(items, item_col, item_text, window)
+    n, blocks = dealt(pieces, block_chars)
+    rows, rest = (rows, None) if n == 1 else _sifted(rows, pieces, window)
     for k, block in enumerate(blocks, 1):
-        rows = _pass(rows, block, window, k == n)
-        rows = stored(rows, "items-matched")
-    return _with_items(rows, items, item_col, item_text, window)
+        rows = stored(_pass(rows, block, window, k == n), "items-matched")
+    out = _with_items(rows, items, item_col, item_text, window)
+    return out if rest is None else out.unionByName(_pass(rest, [], window, True))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -289,18 +303,35 @@ def report(found: DataFrame) -> DataFrame:
 def without_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the hit stretches; texts with a larger share of hit words than ``coverage`` go.
 
-    The rows pass each block of items in turn, without a join; the last pass cuts what any
-    block hit. ``n_chars`` follows the text where the column exists.
+    The rows pass each block of items in turn (with several blocks, those that may hold a
+    window), without a join; the last pass cuts what any block hit. ``n_chars`` follows the text where the column exists.
     """
     hits = free_name(docs, "_hits")
     rows = docs.withColumn(hits, F.array().cast("array<int>"))
-    n, blocks = blocks_of(items, "item_id", "text", block_chars, window)
+    pieces = distinct_pieces(items, "item_id", "text", window)
+    n, blocks = dealt(pieces, block_chars)
+    rows, rest = (rows, None) if n == 1 else _sifted(rows, pieces, window)
     for k, block in enumerate(blocks, 1):
         rows = _cut(rows, hits, block, window, coverage) if k == n else stored(_marked(rows, hits, block, window), "items-marked")
-    rows = rows.drop(hits)
+    rows = (rows if rest is None else rows.unionByName(rest)).drop(hits)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
+def _sifted(rows: DataFrame, pieces: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose text may hold a window of the pieces, stored; and the others."""
+    windows = windowfilter.build(pieces, window)
+
+    def those(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                may = windowfilter.may_hold(map(words_of, texts_of(b)), windows)
+                yield b.filter(pa.array([m == wanted for m in may]))
+
+        return in_batches(rows, run, rows.schema)
+
+    return stored(those(True), "items-candidates"), those(False)
+
+
 def _marked(rows: DataFrame, hits: str, items: list[tuple[str, str]], window: int) -> DataFrame:
     """Add the hit words of one block of items to the column ``hits``."""
     sent = rows.sparkSession.sparkContext.broadcast(Automaton(items, window))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaylark.llm import chat, decontam, queries, secrets
+from quaylark.llm import chat, decontam, queries, secrets, windowfilter
 
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
@@ -197,6 +197,24 @@ def test_equal_and_very_long_items_make_bounded_blocks(spark):
     assert windows == {tuple(words[i : i + 10]) for i in range(len(words) - 9)}
 
 
+@pytest.mark.parametrize("max_bits", [16, windowfilter.MAX_BITS])
+def test_window_filter_loses_no_text(spark, max_bits, monkeypatch):
+    """Every text with a window of an item passes; others do not, unless the table is far too small."""
+    rng = random.Random(9)
+    make = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    items = [make(rng.choice([3, 9, 10, 11, 40])) for _ in range(300)]
+    pieces = spark.createDataFrame([(" ".join(s),) for s in items], "piece string")
+    windows = windowfilter.build(pieces, 10, max_bits)
+    assert windows.sizes == [3, 9, 10] and len(windows.table.value) * 8 == 1 << windows.bits <= 1 << max_bits
+    held = [decontam.words_of(" ".join([*make(5), *(s[a : a + 10] if len(s) > 10 else s), *make(5)])) for s in items for a in [rng.randrange(max(1, len(s) - 9))]]
+    assert all(windowfilter.may_hold(held, windows))
+    clean = [decontam.words_of(" ".join(f"c{rng.randrange(500)}" for _ in range(60))) for _ in range(200)]
+    monkeypatch.setattr(windowfilter, "RUN", 4)  # windows across the runs of a text
+    assert all(windowfilter.may_hold(held, windows))
+    assert windowfilter.may_hold([[], [b"w1"]], windows) == [False, False]
+    assert sum(windowfilter.may_hold(clean, windows)) <= (200 if max_bits == 16 else 2)
+
+
 def test_many_names_of_one_text(spark):
     """100,000 equal items are one piece of the automaton; a passage of many texts is joined with its items once."""
     items = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(PASSAGE).alias("text"))
