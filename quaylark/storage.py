@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that ``stored`` wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
@@ -32,5 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` wrote in this application; returns how many were there.
+
+    Frames that still read them fail from then on, so call it once the results of a job are
+    written. Indexes, ledgers and other paths that callers name are not touched.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN.pop(spark.sparkContext.applicationId, [])]
+    return sum(p.getFileSystem(conf).delete(p, True) for p in paths)
