@@ -96,7 +96,7 @@ def one_row_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
     The row with the least doc_id stays, rows without one come last; texts that are not in
     ``groups`` are groups of their own. Of rows alike in text and doc_id (or without one)
-    the least by all columns stays.
+    the least by all columns stays, maps compared as JSON.
     """
     node = free_name(docs, "_node")
     named = docs.withColumn(node, text_hash())
@@ -113,5 +113,6 @@ def one_row_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     repeated = kept.where("n > 1")
     if repeated.isEmpty():
         return out
-    first = rows_of(repeated).groupBy(node, "doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row"))
+    order = F.struct(*[F.to_json(c) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in docs.columns])
+    first = rows_of(repeated).groupBy(node, "doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
     return out.unionByName(first.select("row.*"))

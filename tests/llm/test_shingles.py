@@ -58,3 +58,12 @@ def test_stage_against_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = plain_kept({r["doc_id"]: r["text"] for r in docs.collect()})
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == want
+
+
+def test_rows_with_maps_and_clashing_names(spark):
+    """Repeated rows with a map beside them: one stays, the least by the map as JSON."""
+    docs = spark.sql("SELECT * FROM VALUES (1L, 'same text here', map('k', 2)), (1L, 'same text here', map('k', 1)), (1L, 'same text here', NULL), (2L, 'Same  text here', map('a', 1)), (NULL, NULL, map('x', 9)), (NULL, '', map('x', 9)) AS t(doc_id, text, _NODE)")
+    got = shingles.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["_NODE"]) for r in got.where("doc_id IS NOT NULL").collect()) == [(1, None)]
+    assert got.where("doc_id IS NULL").count() == 1
