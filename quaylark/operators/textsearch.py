@@ -98,14 +98,17 @@ def parsed(queries: DataFrame, key: str, text: str, terms: DataFrame, most_words
     Runs of up to ``most_words`` tokens meet the dictionary in one join. Of terms that
     overlap in a query the longest stays, of equally long ones the first; words that belong
     to none are keywords, in their order.
+
+    The dictionary goes to the tasks and the queries never do, however small Spark takes them
+    for: it reckons with the size of their files, not with that of their runs.
     """
     words = queries.select(key, tokens(F.col(text)).alias("w"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("term")))))
-    found = words.select(key, F.explode(runs).alias("r")).select(key, "r.*").join(terms, "term").select(key, F.struct((-F.col("n")).alias("short"), "at", "n", "kind", "value").alias("m"))
+    found = words.select(key, F.explode(runs).alias("r")).select(key, "r.*").join(F.broadcast(terms), "term").select(key, F.struct((-F.col("n")).alias("short"), "at", "n", "kind", "value").alias("m"))
     best = found.groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("all"))  # as many as a query has words
     free = lambda acc, m: ~F.exists(acc, lambda x: (x["at"] < m["at"] + m["n"]) & (m["at"] < x["at"] + x["n"]))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, m: F.when(free(acc, m), F.concat(acc, F.array(m))).otherwise(acc))
-    rows = words.join(best, key, "left").withColumn("kept", F.coalesce(kept, F.array().cast("array<struct<short:int,at:int,n:int,kind:string,value:string>>")))
+    rows = words.join(best.hint("merge"), key, "left").withColumn("kept", F.coalesce(kept, F.array().cast("array<struct<short:int,at:int,n:int,kind:string,value:string>>")))
     kinds = F.array_sort(F.array_distinct(F.transform("kept", lambda m: m["kind"])))
     filters = F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, F.array_distinct(F.transform(F.array_sort(F.filter(F.transform("kept", lambda m: F.struct(m["at"], m["kind"], m["value"])), lambda m: m["kind"] == k)), lambda m: m["value"])))))
     rest = F.filter(F.transform("w", lambda w, i: F.when(~F.exists("kept", lambda m: (m["at"] <= i) & (i < m["at"] + m["n"])), w)), lambda w: w.isNotNull())

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylark.functions import extract, queryparse
-from quaylark.operators import filters, hierarchy
+from quaylark.operators import filters, hierarchy, textsearch
 from quaylark.plans.texts import DICTIONARIES
 from quaylark.sources import readers
 
@@ -89,3 +89,15 @@ def test_completeness():
     readers.assert_complete(990, 1000)
     with pytest.raises(ValueError):
         readers.assert_complete(989, 1000)
+
+
+def test_queries_are_never_broadcast(spark):
+    """However small Spark takes the queries for, only the dictionary goes to all tasks."""
+    queries = spark.range(1000).selectExpr("id", "'Senior Apache Spark, ' || id AS q")
+    terms = spark.createDataFrame([("senior", "seniority", "senior"), ("apache spark", "technology", "spark"), ("spark", "technology", "other")], "term string, kind string, value string")
+    got = textsearch.parsed(queries, "id", "q", terms)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "Inner, BuildRight" in plan, plan
+    rows = got.collect()
+    assert len(rows) == 1000
+    assert all(r["filters"] == {"seniority": ["senior"], "technology": ["spark"]} and r["keywords"] == [str(r["id"])] for r in rows)
