@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import decimal_number, lookup
-from .spans import FLAGS, around, earliest, held, matches
+from .spans import FLAGS, around, earliest, held, matches, once_each
 
+OFFERS = "array<struct<least:bigint,most:bigint,currency:string,period:string>>"
 PAY = "array<struct<start:int,end:int,least:bigint,most:bigint,currency:string,period:string,plausible:boolean>>"
 
 _AMOUNT = r"\d{1,3}(?:[.,'’  ]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:[.,]\d{1,2})?(?![\d])"
@@ -224,7 +225,7 @@ def _plain(offers: Column) -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.filter(offers, lambda r: r["plausible"])), lambda r: F.struct(r["least"], r["most"], r["currency"], r["period"])))
 
 
-def with_united(df: DataFrame, text: str, out: str, ranges: tuple[Rule, ...], singles: tuple[Rule, ...] = ()) -> DataFrame:
+def _united(df: DataFrame, text: str, out: str, ranges: tuple[Rule, ...], singles: tuple[Rule, ...] = ()) -> DataFrame:
     """``df`` with the plausible ranges, and the single amounts outside of whatever has the shape of a range, in the order of the text.
 
     Each step is held as a column of its own, so that no pattern is searched twice.
@@ -236,17 +237,30 @@ def with_united(df: DataFrame, text: str, out: str, ranges: tuple[Rule, ...], si
     return held(df, {out: _plain(F.concat(r, lone))}).drop(r, s, low)
 
 
-def with_pay(df: DataFrame, text: str, out: str = "offers") -> DataFrame:
-    """``df`` with array<struct<least,most,currency,period>>: located ranges, else bare ranges, else what all other rules read."""
+def _paid(df: DataFrame, text: str, out: str) -> DataFrame:
     digits, located, bare, other = (f"{out}_{n}" for n in ("text", "located", "bare", "other"))
     df = held(df, {digits: F.when(F.col(text).rlike(r"\d"), F.col(text))})
-    df = with_united(with_united(df, digits, located, LOCATED), digits, bare, BARE)
+    df = _united(_united(df, digits, located, LOCATED), digits, bare, BARE)
     df = held(df, {digits: F.when((F.size(located) == 0) & (F.size(bare) == 0), F.col(digits))})
-    df = with_united(df, digits, other, RANGES, SINGLES)
+    df = _united(df, digits, other, RANGES, SINGLES)
     chosen = F.when(F.size(located) > 0, F.col(located)).when(F.size(bare) > 0, F.col(bare)).otherwise(F.col(other))
     return held(df, {out: chosen}).drop(digits, located, bare, other)
 
 
+def _none_for_null(df: DataFrame, out: str) -> DataFrame:
+    return df.withColumn(out, F.coalesce(out, F.array().cast(OFFERS)))
+
+
+def with_united(df: DataFrame, text: str, out: str, ranges: tuple[Rule, ...], singles: tuple[Rule, ...] = ()) -> DataFrame:
+    """``df`` with the plausible ranges, and the single amounts outside of whatever has the shape of a range, in the order of the text."""
+    return _none_for_null(once_each(df, text, out, lambda texts: _united(texts, "_text", out, ranges, singles)), out)
+
+
+def with_pay(df: DataFrame, text: str, out: str = "offers") -> DataFrame:
+    """``df`` with array<struct<least,most,currency,period>>: located ranges, else bare ranges, else what all other rules read."""
+    return _none_for_null(once_each(df, text, out, lambda texts: _paid(texts, "_text", out)), out)
+
+
 def usual(offers: str) -> Column:
     """struct<least,most,currency,period> of the currency and period with most entries (of equals the first): least and greatest amount."""
     kinds = F.array_distinct(F.transform(offers, lambda o: F.struct(o["currency"], o["period"])))

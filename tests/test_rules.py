@@ -287,3 +287,13 @@ def test_levels(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LEVELS)], "id int, title string")
     got = {r["id"]: r["level"] for r in df.select("id", scalars.seniority(F.col("title")).alias("level")).collect()}
     assert {LEVELS[i][0]: v for i, v in got.items()} == dict(LEVELS)
+
+
+def test_pay_of_equal_texts_is_read_once(spark):
+    """Equal texts cost one text; no side of the join is broadcast, and rows without a text stay."""
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'salary of $60,000 - $70,000' WHEN id % 3 = 1 THEN 'no pay' END AS text", "1 AS clash")
+    got = salary.with_pay(df, "text")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[_text" in plan and "Broadcast" not in plan
+    assert got.columns == ["id", "text", "clash", "offers"]
+    assert {r["id"]: [tuple(o) for o in r["offers"]] for r in got.collect()} == {i: [(60000, 70000, "USD", "year")] if i % 3 == 0 else [] for i in range(1000)}
