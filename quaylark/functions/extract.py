@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import html as html_entities
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..batches import rows_of_texts
+
 # --- occupation by a dictionary ------------------------------------------------------
 
 
@@ -35,7 +35,7 @@ def with_occupation(df: DataFrame, key: str, title: str, aliases: DataFrame, lea
 
 # --- HTML blocks --------------------------------------------------------------------
 
-BLOCKS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())]))
+BLOCKS = T.StructType([T.StructField("block_id", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])
 _BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "pre", "div", "article", "section"}
 _SKIP = {"script", "style", "noscript", "nav", "header", "footer", "template", "svg"}
 _RENAME = {"h1": "h2", "h5": "h4", "h6": "h4", "div": "p", "article": "p", "section": "p", "td": "p", "th": "p", "pre": "p", "blockquote": "p"}
@@ -94,16 +94,9 @@ def html_blocks(raw: str | None) -> list[tuple[str, str]] | None:
     return p.out
 
 
-@F.pandas_udf(BLOCKS)
-def _blocks(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in raw:
-        yield s.map(lambda h: [{"tag": t, "text": x} for t, x in html_blocks(h) or []] if h is not None else None)
-
-
 def blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, block_id, tag, text) of every page."""
-    rows = pages.select(key, F.posexplode(_blocks(F.col(html))).alias("block_id", "b"))
-    return rows.select(key, "block_id", "b.tag", "b.text")
+    return rows_of_texts(pages, key, html, BLOCKS, lambda page: ((i, tag, text) for i, (tag, text) in enumerate(html_blocks(page) or [])))
 
 
 def bullets(text: Column) -> Column:

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from quaylark.functions import htmltree
+from quaylark.functions import extract, htmltree
 
 PAGE = "<h1>T</h1><p>" + "some words of a page. " * 450 + "</p>"  # 10 kB
 
@@ -28,3 +28,8 @@ def given_back(spark, monkeypatch):
 def test_normal_forms_by_the_megabyte(given_back):
     sizes = given_back(lambda df: htmltree.normalised(df, "id", "html"), [PAGE, None, ""] * 300)
     assert sum(sizes) == 900 and len(sizes) >= 3 and max(sizes) <= 400
+
+
+def test_blocks_by_the_megabyte(given_back):
+    sizes = given_back(lambda df: extract.blocks(df, "id", "html"), [PAGE, None, ""] * 300)
+    assert sum(sizes) == 600 and len(sizes) >= 3 and max(sizes) <= 300
