@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..batches import rows_of_texts
+
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """A CSV registry, every column a string."""
@@ -178,11 +180,12 @@ def balanced_json(text: str | None, marker: str) -> str | None:
 def embedded_json(pages: DataFrame, key: str, html: str, marker: str) -> DataFrame:
     """(key, payload): the embedded JSON of each page that has the marker."""
 
-    @F.pandas_udf(T.StringType())
-    def take(h: pd.Series) -> pd.Series:
-        return h.map(lambda x: balanced_json(x, marker))
+    def take(page: str | None) -> list[tuple[str]]:
+        found = balanced_json(page, marker)
+        return [] if found is None else [(found,)]
 
-    return pages.where(F.col(html).contains(marker)).select(key, take(F.col(html)).alias("payload")).where("payload IS NOT NULL")
+    marked = pages.where(F.col(html).contains(marker))
+    return rows_of_texts(marked, key, html, T.StructType([T.StructField("payload", T.StringType())]), take)
 
 
 # --- paging and merging ------------------------------------------------------------

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from quaylark.functions import extract, htmltree
+from quaylark.sources import readers
 
 PAGE = "<h1>T</h1><p>" + "some words of a page. " * 450 + "</p>"  # 10 kB
 
@@ -33,3 +34,8 @@ def test_normal_forms_by_the_megabyte(given_back):
 def test_blocks_by_the_megabyte(given_back):
     sizes = given_back(lambda df: extract.blocks(df, "id", "html"), [PAGE, None, ""] * 300)
     assert sum(sizes) == 600 and len(sizes) >= 3 and max(sizes) <= 300
+
+
+def test_embedded_json_by_the_megabyte(given_back):
+    sizes = given_back(lambda df: readers.embedded_json(df, "id", "html", "x ="), [PAGE + "x = [1]", PAGE, None] * 300)
+    assert sum(sizes) == 300 and len(sizes) >= 3 and max(sizes) <= 150
