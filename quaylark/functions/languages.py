@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import by_size
+
 CELLS = 1 << 15
 #: Languages at most: with CELLS the bound of the model (4 MB each on the driver in learning).
 MAX_LANGUAGES = 200
@@ -53,7 +55,7 @@ def learn(labelled: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in by_size(batches):
             for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 if name not in counts and len(counts) == MAX_LANGUAGES:
                     raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -106,7 +108,7 @@ def with_languages(df: DataFrame, text: str, model: tuple[list[str], np.ndarray]
     own = df.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, text):
             one, many = [], []
             for t in b.column(text).to_pylist():
                 t = t or ""

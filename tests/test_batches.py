@@ -1,9 +1,10 @@
 """Functions that read whole pages or texts in Python hold a megabyte of them at a time, not all of an Arrow batch."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from quaylark.functions import extract, htmltree
+from quaylark.functions import extract, htmltree, languages
 from quaylark.sources import readers
 
 PAGE = "<h1>T</h1><p>" + "some words of a page. " * 450 + "</p>"  # 10 kB
@@ -39,3 +40,9 @@ def test_blocks_by_the_megabyte(given_back):
 def test_embedded_json_by_the_megabyte(given_back):
     sizes = given_back(lambda df: readers.embedded_json(df, "id", "html", "x ="), [PAGE + "x = [1]", PAGE, None] * 300)
     assert sum(sizes) == 300 and len(sizes) >= 3 and max(sizes) <= 150
+
+
+def test_languages_by_the_megabyte(given_back):
+    model = ["a", "b"], np.zeros((languages.CELLS, 2), np.float32)
+    sizes = given_back(lambda df: languages.with_languages(df, "html", model), [PAGE, None, ""] * 300)
+    assert sum(sizes) == 900 and len(sizes) >= 3 and max(sizes) <= 400
