@@ -180,7 +180,7 @@ def fn_06_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fn_03_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-03: pages with their structure, allowed tags without attributes only (tests: exact trees, and no visible text lost)."""
-    return htmltree.normalised(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "clean")
+    return htmltree.cleaned(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query()

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from quaylark.functions import extract, htmltree, languages
+from quaylark.plans import texts
 from quaylark.sources import readers
 
 PAGE = "<h1>T</h1><p>" + "some words of a page. " * 450 + "</p>"  # 10 kB
@@ -32,6 +33,24 @@ def test_normal_forms_by_the_megabyte(given_back):
     assert sum(sizes) == 900 and len(sizes) >= 3 and max(sizes) <= 400
 
 
+def test_cleaned_pages_by_the_megabyte(given_back, monkeypatch):
+    """``fn_03_clean_html``: bounded batches, one parse a page, no other form."""
+    parsed, parse = [], htmltree.parse
+    monkeypatch.setattr(htmltree, "parse", lambda page: parsed.append(page) or parse(page))
+    monkeypatch.setattr(texts, "table", lambda spark, sf_dir, name: spark)
+    sizes = given_back(lambda df: texts.fn_03_clean_html(df.withColumnRenamed("id", "page_id"), ""), [PAGE, None, ""] * 300)
+    assert sum(sizes) == 900 and len(sizes) >= 3 and max(sizes) <= 400
+    assert len(parsed) == 900
+
+
+def test_cleaned_pages_are_the_clean_form(spark):
+    pages = [PAGE, None, "", " ", "<p>a<script>b</script>", "&lt;p&gt;x &amp; y&lt;/p&gt;", "<![bad<p>z", PAGE]
+    df = spark.createDataFrame([*enumerate(pages), (0, "<h7>again</h7>")], "id long, html string")
+    got, want = htmltree.cleaned(df, "id", "html"), htmltree.normalised(df, "id", "html").select("id", "clean")
+    assert got.schema == want.schema
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def test_blocks_by_the_megabyte(given_back):
     sizes = given_back(lambda df: extract.blocks(df, "id", "html"), [PAGE, None, ""] * 300)
     assert sum(sizes) == 600 and len(sizes) >= 3 and max(sizes) <= 300
